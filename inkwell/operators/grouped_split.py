@@ -1,0 +1,222 @@
+"""Splits that keep related records together.
+
+Method: distributed union-find with local forests merged hierarchically, then
+greedy largest-first assignment of groups to the split furthest below target.
+
+A record ties its persons and its title. Only distinct (author, title) pairs
+are looked at, and each gives a star of links between hashed keys. Every
+partition reduces its links to a forest; forests are merged in ever fewer
+partitions while that shrinks them and they fit FOREST_EDGES links, else
+rounds of hooking every key to its least neighbour, which spread over all
+partitions and need no group to be in one place.
+
+Groups of one size are interchangeable for the greedy rule, so it runs over
+the sizes, of which there are at most about sqrt(2 x records); groups of one
+size are then numbered in salted buckets, and no group list is ever in one task.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from inkwell.functions.arrow import arrow_schema, as_batch, map_rows
+from inkwell.functions.textform import consistent
+from inkwell.session import cut
+
+#: Links that one task may merge; more go by rounds over all partitions.
+FOREST_EDGES = 2_000_000
+SHARES = {"train": 0.8, "dev": 0.1, "test": 0.1}
+BUCKETS = 64
+
+_SPLIT_PERSONS = re.compile("[、，/&]")
+_SPACE = re.compile(r"\s+")
+
+
+def person_keys(author: str | None) -> list[str]:
+    """Comparable names of the persons in an author field; null or blank names none."""
+    if author is None:
+        return []
+    names = (_SPACE.sub("", p).casefold() for p in _SPLIT_PERSONS.split(consistent(author)))
+    return sorted({n for n in names if n})
+
+
+def title_key(title: str | None) -> str | None:
+    """Comparable title: consistent form, no white space, no case, no enclosing 《》; null or blank has none."""
+    if title is None:
+        return None
+    t = _SPACE.sub("", consistent(title)).casefold()
+    while len(t) > 2 and t[0] == "《" and t[-1] == "》":
+        t = t[1:-1]
+    return t or None
+
+
+def _node(kind: str, key: str) -> int:
+    x = xxhash.xxh3_64_intdigest((kind + key).encode("utf-8", "surrogatepass"))
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _nodes(cols: dict[str, list]) -> Iterator[tuple]:
+    for a, t in zip(cols["author"], cols["title"]):
+        nodes = [_node("p:", p) for p in person_keys(a)]
+        if (k := title_key(t)) is not None:
+            nodes.append(_node("t:", k))
+        yield a, t, nodes
+
+
+class _Forest:
+    """Links in, spanning links (key, least key of its local tree) out."""
+
+    def __init__(self) -> None:
+        self.schema = arrow_schema("u long, v long")
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while (p := up.get(root, root)) != root:
+                root = p
+            while (p := up.get(x, x)) != root:
+                up[x], x = root, p
+            return root
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                a, c = find(u), find(v)
+                if a != c:
+                    up[max(a, c)] = min(a, c)
+        keys = list(up)
+        for lo in range(0, len(keys), 50_000):
+            rows = [(k, r) for k in keys[lo : lo + 50_000] if (r := find(k)) != k]
+            if rows:
+                yield as_batch(rows, self.schema, 2)
+
+
+def components(links: DataFrame, forest_edges: int = FOREST_EDGES, fan_in: int = 8) -> DataFrame:
+    """(key, root) for every key in links(u, v); root is the least key of the component."""
+    ddl = "u long, v long"
+    forest = cut(links.mapInArrow(_Forest(), ddl))
+    parts = max(1, forest.rdd.getNumPartitions())
+    count = forest.count()
+    while parts > 1 and count <= forest_edges:  # hierarchical merge
+        parts = max(1, parts // fan_in)
+        forest = cut(forest.repartition(parts, "v").mapInArrow(_Forest(), ddl))
+    while parts > 1:  # too many links for one task: hook to the least neighbour until nothing changes
+        both = forest.union(forest.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.union(large.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("v <= u")
+        least = small.groupBy("u").agg(F.min("v").alias("m"))
+        after = cut(small.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        same = after.exceptAll(forest).isEmpty() and forest.exceptAll(after).isEmpty()
+        forest = after
+        if same:
+            break
+    roots = forest.select(F.col("u").alias("key"), F.col("v").alias("root"))
+    return roots.union(forest.select("v").distinct().select(F.col("v").alias("key"), F.col("v").alias("root")))
+
+
+def pair_groups(records: DataFrame) -> DataFrame:
+    """(author, title, root) of the distinct pairs; root null where both are null or blank."""
+    pairs = cut(map_rows(records.select("author", "title").distinct(), _nodes, "author string, title string, nodes array<long>"))
+    links = pairs.where(F.size("nodes") > 0).select(F.col("nodes")[0].alias("v"), F.explode("nodes").alias("u")).select("u", "v").distinct()
+    lone = links.where("u = v").select(F.col("u").alias("key"))
+    comp = components(links.where("u <> v"))
+    firsts = pairs.select("author", "title", F.try_element_at("nodes", F.lit(1)).alias("key"))
+    out = firsts.join(comp, "key", "left").select("author", "title", F.coalesce("root", "key").alias("root"))
+    del lone
+    return out
+
+
+def tied_authors(records: DataFrame) -> DataFrame:
+    """Every two different stored authors (author_a < author_b by code point) whose records must share a split."""
+    who = cut(pair_groups(records).where("author is not null and root is not null").select("author", "root").distinct())
+    a, b = who.toDF("author_a", "root"), who.toDF("author_b", "root")
+    return a.join(b, "root").where("author_a < author_b").select("author_a", "author_b").distinct()
+
+
+def greedy_by_size(sizes: list[tuple[int, int]], shares: dict[str, float]) -> list[tuple[int, str, int, int]]:
+    """Largest first, each group to the split furthest below its target.
+
+    sizes: (size, groups). Returns (size, split, first, last) where groups of a
+    size are numbered from 0 and the numbers first..last-1 go to split. Ties go
+    to the split named first. Many groups of one size are dealt in one step as
+    long as that cannot differ from dealing them singly."""
+    names = list(shares)
+    total = sum(s * c for s, c in sizes)
+    below = [shares[n] * total for n in names]
+    out: list[tuple[int, str, int, int]] = []
+    for size, count in sorted(sizes, reverse=True):
+        at = 0
+        while at < count:
+            order = sorted(range(len(names)), key=lambda i: (-below[i], i))
+            first = order[0]
+            second = below[order[1]] if len(order) > 1 else float("-inf")
+            steps = max(1, int((below[first] - second) // size)) if size else count - at
+            run = min(count - at, steps)
+            out.append((size, names[first], at, at + run))
+            below[first] -= run * size
+            at += run
+            if at < count and len(order) > 1 and run == 1 and count - at > 1000:
+                # all within one group of each other: whole rounds change nothing but the level
+                spread = max(below) - min(below)
+                if spread <= size:
+                    rounds = (count - at) // len(names) - 1
+                    if rounds > 0:
+                        for k, i in enumerate(sorted(range(len(names)), key=lambda i: (-below[i], i))):
+                            out.append((size, names[i], at + k * rounds, at + (k + 1) * rounds))
+                            below[i] -= rounds * size
+                        at += rounds * len(names)
+    return out
+
+
+class _Greedy:
+    def __init__(self, shares: dict[str, float]) -> None:
+        self.shares = shares
+
+    def __call__(self, cols: dict[str, list]) -> Iterator[tuple]:
+        for sizes in cols["sizes"]:
+            yield from greedy_by_size([(s["size"], s["groups"]) for s in sizes], self.shares)
+
+
+def split_records(records: DataFrame, shares: dict[str, float] | None = None, id_col: str = "chunk_id") -> DataFrame:
+    """One split per row of records: its columns id_col, author, title, and group, split.
+
+    A row without author and title is a group of its own id; repeated rows
+    share their group. A null id without author and title is the group of the
+    null id. Shares need not sum to 1; they are taken in proportion."""
+    shares = shares or SHARES
+    whole = sum(shares.values())
+    shares = {k: v / whole for k, v in shares.items()}
+    groups = pair_groups(records)
+    keyed = records.select(F.col(id_col), "author", "title").join(
+        groups.select(F.col("author").alias("ga"), F.col("title").alias("gt"), "root"), F.col("author").eqNullSafe(F.col("ga")) & F.col("title").eqNullSafe(F.col("gt")), "left"
+    )
+    keyed = keyed.select(id_col, "author", "title", F.coalesce(F.concat(F.lit("g"), F.col("root").cast("string")), F.concat(F.lit("r"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("group"))
+    sized = cut(keyed.groupBy("group").agg(F.count("*").alias("size")).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(BUCKETS))))
+    counts = sized.groupBy("size").agg(F.count("*").alias("groups"))
+    plan = map_rows(counts.groupBy().agg(F.collect_list(F.struct("size", "groups")).alias("sizes")), _Greedy(shares), "size long, split string, first long, last long")
+    from pyspark.sql import Window as W
+
+    before = sized.groupBy("size", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(W.partitionBy("size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
+    numbered = sized.withColumn("k", F.row_number().over(W.partitionBy("size", "bucket").orderBy(F.xxhash64("group"), "group")) - 1)
+    ranked = numbered.join(before.select("size", "bucket", "base"), ["size", "bucket"]).select("group", "size", (F.col("k") + F.coalesce("base", F.lit(0))).alias("no"))
+    placed = ranked.join(plan, "size").where("no >= first and no < last").select("group", "split")
+    return keyed.join(placed, "group").select(id_col, "author", "title", "group", "split")
+
+
+def shares_reached(split: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
+    """Per split: target share, records, groups and the share reached."""
+    shares = shares or SHARES
+    spark = split.sparkSession
+    want = spark.createDataFrame([(k, float(v)) for k, v in shares.items()], T.StructType([T.StructField("split", T.StringType()), T.StructField("target_share", T.DoubleType())]))
+    got = split.groupBy("split").agg(F.count("*").alias("records"), F.countDistinct("group").alias("groups"))
+    total = split.agg(F.count("*").alias("total"))
+    return want.join(got, "split", "left").crossJoin(total).select(
+        "split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("groups", F.lit(0)).alias("groups"), (F.coalesce("records", F.lit(0)) / F.greatest("total", F.lit(1))).alias("share")
+    )
