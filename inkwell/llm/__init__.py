@@ -1,0 +1 @@
+"""Operators on text for training data. Nothing outside this subpackage imports it."""
