@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import site_lines
+from inkwell.llm import encoding, site_lines
 from inkwell.plans.registry import Registry, table
 
 R = Registry()
@@ -27,3 +27,15 @@ def p6_cleaned(spark, d):
     """The chapters without their site's lines."""
     chapters = table(spark, d, "chapters")
     return site_lines.without_paragraphs(chapters, site_lines.site_lines(chapters))
+
+
+@R.query("p2_found")
+def p2_found(spark, d):
+    """Every paragraph that holds text decoded with a wrong encoding."""
+    return encoding.garbled_paragraphs(table(spark, d, "chapters")).select(F.col("id").alias("chapter_id"), "para_no")
+
+
+@R.query("p2_restored")
+def p2_restored(spark, d):
+    """Those paragraphs with their original text, where nothing was lost."""
+    return encoding.garbled_paragraphs(table(spark, d, "chapters")).withColumnRenamed("id", "chapter_id")
