@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import encoding, site_lines
+from inkwell.llm import encoding, lookalike, site_lines
 from inkwell.plans.registry import Registry, table
 
 R = Registry()
@@ -39,3 +39,15 @@ def p2_found(spark, d):
 def p2_restored(spark, d):
     """Those paragraphs with their original text, where nothing was lost."""
     return encoding.garbled_paragraphs(table(spark, d, "chapters")).withColumnRenamed("id", "chapter_id")
+
+
+@R.query("p4_found")
+def p4_found(spark, d):
+    """Every title or paragraph that is not in the consistent form."""
+    return lookalike.variants(table(spark, d, "chapters")).select(F.col("id").alias("chapter_id"), "para_no")
+
+
+@R.query("p4_forms")
+def p4_forms(spark, d):
+    """Those titles and paragraphs with their consistent form."""
+    return lookalike.variants(table(spark, d, "chapters")).withColumnRenamed("id", "chapter_id")
