@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import encoding, lookalike, site_lines
+from inkwell.llm import encoding, lookalike, residue, site_lines
 from inkwell.plans.registry import Registry, table
 
 R = Registry()
@@ -51,3 +51,22 @@ def p4_found(spark, d):
 def p4_forms(spark, d):
     """Those titles and paragraphs with their consistent form."""
     return lookalike.variants(table(spark, d, "chapters")).withColumnRenamed("id", "chapter_id")
+
+
+@R.query("p5_found")
+def p5_found(spark, d):
+    """Every paragraph that a template or a failing site left."""
+    return residue.residue(table(spark, d, "chapters")).select(F.col("id").alias("chapter_id"), "para_no")
+
+
+@R.query("p5_kinds")
+def p5_kinds(spark, d):
+    """Those paragraphs by kind."""
+    return residue.residue(table(spark, d, "chapters")).withColumnRenamed("id", "chapter_id")
+
+
+@R.query("p5_cleaned")
+def p5_cleaned(spark, d):
+    """The chapters without residue."""
+    chapters = table(spark, d, "chapters")
+    return site_lines.without_paragraphs(chapters, residue.residue(chapters))
