@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import encoding, lookalike, residue, site_lines
+from inkwell.llm import encoding, lookalike, mixing, packing, residue, site_lines
 from inkwell.plans.registry import Registry, table
 
 R = Registry()
@@ -70,3 +70,35 @@ def p5_cleaned(spark, d):
     """The chapters without residue."""
     chapters = table(spark, d, "chapters")
     return site_lines.without_paragraphs(chapters, residue.residue(chapters))
+
+
+@R.query("p8_containers")
+def p8_containers(spark, d):
+    """The container of every document, or of its pieces, for every capacity."""
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "bin_sizes")).withColumnRenamed("id", "doc_id")
+
+
+@R.query("p8_unused")
+def p8_unused(spark, d):
+    """Per capacity how many containers there are and how much of them is unused."""
+    bins = table(spark, d, "bin_sizes")
+    return packing.unused(packing.packed(table(spark, d, "documents"), bins), bins)
+
+
+@R.query("p9_draws")
+def p9_draws(spark, d):
+    """How often each document is taken."""
+    return mixing.drawn(table(spark, d, "documents"), table(spark, d, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+@R.query("p9_shares")
+def p9_shares(spark, d):
+    """Per source the share reached."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares_reached(mixing.drawn(table(spark, d, "documents"), targets), targets)
+
+
+@R.query("p9_mixture")
+def p9_mixture(spark, d):
+    """The mixture, one row per copy, in a global random order."""
+    return mixing.mixture(mixing.drawn(table(spark, d, "documents"), table(spark, d, "mix_targets"))).withColumnRenamed("id", "doc_id")
