@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import encoding, lookalike, mixing, packing, residue, site_lines
+from inkwell.llm import encoding, lookalike, mixing, packing, reading_level, residue, site_lines
 from inkwell.plans.registry import Registry, table
 
 R = Registry()
@@ -102,3 +102,15 @@ def p9_shares(spark, d):
 def p9_mixture(spark, d):
     """The mixture, one row per copy, in a global random order."""
     return mixing.mixture(mixing.drawn(table(spark, d, "documents"), table(spark, d, "mix_targets"))).withColumnRenamed("id", "doc_id")
+
+
+@R.query("p10_levels")
+def p10_levels(spark, d):
+    """The reading level of every document."""
+    return reading_level.levels(table(spark, d, "documents"), table(spark, d, "graded_samples")).withColumnRenamed("id", "doc_id")
+
+
+@R.query("p10_profile")
+def p10_profile(spark, d):
+    """The distribution of levels by source."""
+    return reading_level.profile(reading_level.levels(table(spark, d, "documents"), table(spark, d, "graded_samples")))
