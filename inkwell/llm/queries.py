@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import encoding, lookalike, mixing, packing, reading_level, residue, site_lines
+from inkwell.llm import bilingual, encoding, lookalike, mixing, packing, reading_level, residue, site_lines
 from inkwell.plans.registry import Registry, table
 
 R = Registry()
@@ -114,3 +114,15 @@ def p10_levels(spark, d):
 def p10_profile(spark, d):
     """The distribution of levels by source."""
     return reading_level.profile(reading_level.levels(table(spark, d, "documents"), table(spark, d, "graded_samples")))
+
+
+@R.query("p3_found")
+def p3_found(spark, d):
+    """Every pair of elements of source and zh in one entry that translate each other or a part of each other."""
+    return bilingual.aligned(table(spark, d, "sentence_translations")).select(F.col("id").alias("entry_id"), "source_no", "zh_no").distinct()
+
+
+@R.query("p3_scores")
+def p3_scores(spark, d):
+    """Those pairs with their scores."""
+    return bilingual.aligned(table(spark, d, "sentence_translations")).withColumnRenamed("id", "entry_id")

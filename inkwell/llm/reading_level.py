@@ -121,8 +121,8 @@ def levels(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col:
 def profile(found: DataFrame) -> DataFrame:
     """Documents and their share by source and level; documents without a level are left out of it."""
     n = found.where("level is not null").groupBy("source", "level").agg(F.count("*").alias("documents"), F.avg("posterior").alias("mean_posterior"))
-    whole = n.groupBy("source").agg(F.sum("documents").alias("whole"))
-    return n.join(whole, n["source"].eqNullSafe(whole["source"])).select(n["source"], "level", "documents", (F.col("documents") / F.col("whole")).alias("share"), "mean_posterior")
+    whole = n.groupBy(F.col("source").alias("s")).agg(F.sum("documents").alias("whole"))
+    return n.join(whole, F.col("source").eqNullSafe(F.col("s"))).select("source", "level", "documents", (F.col("documents") / F.col("whole")).alias("share"), "mean_posterior")
 
 
 def share_right(models: LevelModels, held_out: list[tuple[str, str, int]]) -> float:
