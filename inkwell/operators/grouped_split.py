@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from inkwell.functions.arrow import arrow_schema, as_batch, map_rows
 from inkwell.functions.textform import consistent
@@ -125,12 +125,9 @@ def pair_groups(records: DataFrame) -> DataFrame:
     """(author, title, root) of the distinct pairs; root null where both are null or blank."""
     pairs = cut(map_rows(records.select("author", "title").distinct(), _nodes, "author string, title string, nodes array<long>"))
     links = pairs.where(F.size("nodes") > 0).select(F.col("nodes")[0].alias("v"), F.explode("nodes").alias("u")).select("u", "v").distinct()
-    lone = links.where("u = v").select(F.col("u").alias("key"))
     comp = components(links.where("u <> v"))
     firsts = pairs.select("author", "title", F.try_element_at("nodes", F.lit(1)).alias("key"))
-    out = firsts.join(comp, "key", "left").select("author", "title", F.coalesce("root", "key").alias("root"))
-    del lone
-    return out
+    return firsts.join(comp, "key", "left").select("author", "title", F.coalesce("root", "key").alias("root"))
 
 
 def tied_authors(records: DataFrame) -> DataFrame:
@@ -201,8 +198,6 @@ def split_records(records: DataFrame, shares: dict[str, float] | None = None, id
     sized = cut(keyed.groupBy("group").agg(F.count("*").alias("size")).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(BUCKETS))))
     counts = sized.groupBy("size").agg(F.count("*").alias("groups"))
     plan = map_rows(counts.groupBy().agg(F.collect_list(F.struct("size", "groups")).alias("sizes")), _Greedy(shares), "size long, split string, first long, last long")
-    from pyspark.sql import Window as W
-
     before = sized.groupBy("size", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(W.partitionBy("size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
     numbered = sized.withColumn("k", F.row_number().over(W.partitionBy("size", "bucket").orderBy(F.xxhash64("group"), "group")) - 1)
     ranked = numbered.join(before.select("size", "bucket", "base"), ["size", "bucket"]).select("group", "size", (F.col("k") + F.coalesce("base", F.lit(0))).alias("no"))
