@@ -205,7 +205,7 @@ for _k, _v in KANGXI.items():
 def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, slot) of every gram: letters and ideographs only, lower case.
 
-    A gram never spans a line feed put between texts, nor digits or marks; short words make one gram of what they have."""
+    A gram never spans a line feed put between texts, nor digits or marks; a word of fewer than four letters is one gram."""
     kind = CLASS[points]
     q = LOWER[points].astype(np.uint64)
     n = len(points)
@@ -217,15 +217,17 @@ def grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok2[: n - 1] = (kind[:-1] == 2) & (kind[1:] == 2)
         two[: n - 1] = q[:-1] * np.uint64(0x9E3779B97F4A7C15) + q[1:]
         four = q.copy()
-        ok4 = kind == 1
+        run = kind == 1
+        begins = run & np.concatenate(([True], kind[:-1] != 1))
         for k in range(1, 4):
             shifted = np.zeros(n, dtype=np.uint64)
             same = np.zeros(n, dtype=bool)
             if k < n:
                 shifted[: n - k] = q[k:]
                 same[: n - k] = kind[k:] == 1
-            ok4 = ok4 & same
-            four = four * np.uint64(0xD6E8FEB86659FD93) + shifted
+            run = run & same
+            four = four * np.uint64(0xD6E8FEB86659FD93) + np.where(run, shifted, np.uint64(0))
+        ok4 = run | begins
         h = np.where(ok2, two, four)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
