@@ -35,8 +35,8 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Data
     by = by or []
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
     r = average_ranks(average_ranks(both, a, "_ra", by), b, "_rb", by)
-    varied = (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
-    return r.groupBy(*by).agg(F.when(varied, F.corr("_ra", "_rb")).alias("rho"), F.count("*").alias("n"))
+    rho = F.covar_pop("_ra", "_rb") / F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))
+    return r.groupBy(*by).agg(rho.alias("rho"), F.count("*").alias("n"))
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:

@@ -1,0 +1,215 @@
+"""Readers: plain text, EPUB, HTML, JSON lines, glossaries. Files are read as rows of the cluster's file listing, never on the driver."""
+
+from __future__ import annotations
+
+import html as html_lib
+import io
+import json
+import posixpath
+import re
+import zipfile
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from xml.etree import ElementTree
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from inkwell.functions.arrow import map_rows
+
+_HEADING = re.compile(r"^[ \t　]*(第[0-9零〇一二三四五六七八九十百千万两]+[章节回卷部篇]|番外|楔子|引子|序章|尾声|Chapter \d+)(.*)$")
+
+
+def decode(data: bytes) -> str:
+    """utf-8 with or without mark, utf-16 with a mark, gb18030, else utf-8 with replacements."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16", "replace")
+    for codec in ("utf-8-sig", "gb18030"):
+        try:
+            return data.decode(codec)
+        except UnicodeDecodeError:
+            continue
+    return data.decode("utf-8", "replace")
+
+
+def split_text(text: str) -> dict:
+    """Title, author, intro, and chapters (title, kind, paragraphs) of a plain text book."""
+    title, author, intro = None, None, []
+    chapters: list[dict] = []
+    in_intro = False
+    for line in re.sub("\r\n?", "\n", text).split("\n"):
+        s = line.strip(" \t　")
+        if not s:
+            continue
+        m = _HEADING.match(s)
+        if m:
+            chapters.append({"title": s, "kind": "extra" if "番外" in s else "chapter", "paragraphs": []})
+        elif chapters:
+            chapters[-1]["paragraphs"].append(s)
+        elif (a := re.match(r"作者\s*[:：]\s*(.+)", s)) and author is None:
+            author = a[1]
+        elif re.match(r"(?:内容|作品)?简介|文案", s):
+            in_intro = True
+            rest = re.sub(r"^(?:内容|作品)?(?:简介|文案)\s*[:：]?\s*", "", s)
+            intro += [rest] if rest else []
+        elif in_intro:
+            intro.append(s)
+        elif title is None:
+            title = re.sub(r"^(?:书名|标题|作品)\s*[:：]\s*|[《》]", "", s)
+    return {"title": title, "author": author, "intro": intro, "chapters": chapters}
+
+
+def _books(cols: dict[str, list]) -> Iterator[tuple]:
+    for path, data in zip(cols["path"], cols["content"]):
+        b = split_text(decode(data))
+        for k, c in enumerate(b["chapters"]):
+            yield path, b["title"], b["author"], k, c["title"], c["kind"], c["paragraphs"]
+
+
+BOOK_DDL = "path string, title string, author string, chapter_no int, chapter string, kind string, paragraphs array<string>"
+
+
+def read_txt(spark: SparkSession, path: str) -> DataFrame:
+    """One row per chapter of every text file under path; a file without headings gives none."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return map_rows(files, _books, BOOK_DDL, 200)
+
+
+class _Blocks(HTMLParser):
+    """Text lines of HTML: block tags break lines; head, script, style and nav are dropped."""
+
+    BREAK = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "blockquote", "section", "article", "hr", "ul", "ol", "table"}
+    DROP = {"script", "style", "nav", "head", "template", "noscript"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.lines, self.skip, self.kind = [""], 0, "p"
+        self.kinds = ["p"]
+
+    def _break(self, kind: str = "p") -> None:
+        if self.lines[-1].strip():
+            self.lines.append("")
+            self.kinds.append(kind)
+        else:
+            self.kinds[-1] = kind
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.DROP:
+            self.skip += 1
+        elif tag in self.BREAK:
+            self._break(tag if tag[0] == "h" and tag[1:].isdigit() else "li" if tag == "li" else "p")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.DROP:
+            self.skip = max(0, self.skip - 1)
+        elif tag in self.BREAK:
+            self._break()
+
+    def handle_data(self, data: str) -> None:
+        if not self.skip:
+            self.lines[-1] += re.sub(r"\s+", " ", data)
+
+
+def html_lines(markup: str) -> list[tuple[str, str]]:
+    """(kind, text) of the non-blank lines of HTML, repeats of the line before dropped."""
+    p = _Blocks()
+    p.feed(markup)
+    p.close()
+    out: list[tuple[str, str]] = []
+    for kind, line in zip(p.kinds, p.lines):
+        s = line.strip()
+        if s and (not out or out[-1][1] != s):
+            out.append((kind, s))
+    return out
+
+
+def _html_rows(cols: dict[str, list]) -> Iterator[tuple]:
+    for i, blocks in zip(cols["id"], cols["html"]):
+        if blocks is None:
+            continue
+        no = 0
+        for b in blocks:
+            for kind, s in html_lines(b) if b else []:
+                yield i, no, kind, s
+                no += 1
+
+
+def html_blocks(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, block_no, kind, text) of lists of HTML fragments; null lists and fragments give none."""
+    return map_rows(df.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")), _html_rows, "id long, block_no int, kind string, text string", 2000)
+
+
+def html_links(markup: str, base: str = "") -> list[tuple[str, str]]:
+    """(absolute link without fragment, text) of the anchors with a target."""
+    from urllib.parse import urldefrag, urljoin
+
+    out = []
+    for m in re.finditer(r"(?is)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)[^>]*>(.*?)</a>", markup):
+        href = html_lib.unescape(m[1].strip("\"'"))
+        out.append((urldefrag(urljoin(base, href))[0], html_lib.unescape(re.sub(r"<[^>]+>", "", m[2])).strip()))
+    return out
+
+
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def epub_chapters(data: bytes) -> dict:
+    """Title, creator and the spine's documents as lines; navigation, covers and title pages are left out."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    if (bad := z.testzip()) is not None:
+        raise ValueError(f"damaged member: {bad}")
+    root = next(e.get("full-path") for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if _local(e.tag) == "rootfile")
+    opf = ElementTree.fromstring(z.read(root))
+    meta = {k: next((e.text or "" for e in opf.iter() if _local(e.tag) == k), "") for k in ("title", "creator", "language", "identifier")}
+    items = {e.get("id"): e for e in opf.iter() if _local(e.tag) == "item"}
+    docs = []
+    for ref in (e.get("idref") for e in opf.iter() if _local(e.tag) == "itemref"):
+        item = items.get(ref)
+        if item is None or "html" not in (item.get("media-type") or "") or "nav" in (item.get("properties") or "").split():
+            continue
+        member = posixpath.normpath(posixpath.join(posixpath.dirname(root), item.get("href")))
+        if re.search(r"(?i)(?:^|[-_/.])(?:nav|toc|ncx|cover|titlepage)(?:[-_.]|$)", posixpath.basename(member)):
+            continue
+        docs.append((member, html_lines(decode(z.read(member)))))
+    return {**meta, "documents": docs}
+
+
+def _epubs(cols: dict[str, list]) -> Iterator[tuple]:
+    for path, data in zip(cols["path"], cols["content"]):
+        b = epub_chapters(data)
+        for k, (member, lines) in enumerate(b["documents"]):
+            heading = next((s for kind, s in lines if kind[0] == "h"), None)
+            yield path, b["title"], b["creator"], k, heading or member, "chapter", [s for kind, s in lines if s != heading]
+
+
+def read_epub(spark: SparkSession, path: str) -> DataFrame:
+    """One row per content document of every EPUB under path; a damaged archive fails the job."""
+    return map_rows(spark.read.format("binaryFile").load(path).select("path", "content"), _epubs, BOOK_DDL, 100)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; a bad row fails with its text."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_book(spark: SparkSession, path: str) -> DataFrame:
+    """Text, EPUB or Parquet chapters, by suffix."""
+    low = path.lower()
+    return read_epub(spark, path) if low.endswith(".epub") else read_txt(spark, path) if low.endswith(".txt") else spark.read.parquet(path)
+
+
+def json_object(text: str) -> dict:
+    """The first JSON object in model output: fences and what stands around it are passed over."""
+    s = re.sub(r"```(?:json)?", "", text)
+    for m in re.finditer(r"\{", s):
+        try:
+            value, _ = json.JSONDecoder().raw_decode(s[m.start() :])
+        except json.JSONDecodeError:
+            continue
+        if isinstance(value, dict):
+            return value
+    raise ValueError("no JSON object")
+
+
+def canonical_json(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
