@@ -23,7 +23,7 @@ BOILERPLATE = (
     "营养液加更|感谢.*营养液|这个段落是图片段落|请访问正确的网站|原版未篡改内容请移至|关闭广告拦截功能|退出浏览器阅读模式"
 )
 URL = "(?i)https?://|www\\.|\\.com|\\.net|\\.org"
-# Genre vocabulary in order of priority, the first hit decides.
+# Second names of authors, with the main one.
 AUTHOR_ALIASES = {"顾雪柔": "非天夜翔"}
 
 

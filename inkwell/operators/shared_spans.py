@@ -117,17 +117,22 @@ def distinct_texts(df: DataFrame, id_col: str, text: F.Column) -> tuple[DataFram
 
 def _with_context(cols: dict[str, list]) -> Iterator[tuple]:
     for c, text, hits in zip(cols["class_id"], cols["text"], cols["hits"]):
-        for h in hits:
+        before = None
+        for h in sorted(hits, key=lambda h: h["at"]):
             p = h["at"]
-            yield h["fp"], h["n"], c, p, h["prev"], h["back"], text[max(0, p - SIDE) : p], text[p + SPAN : p + MIN_RUN]
+            near = before is not None and p - before["at"] <= SPAN  # touching spans lie in one run
+            yield h["fp"], h["n"], c, p, before["fp"] if near else None, p - before["at"] if near else None, text[max(0, p - SIDE) : p], text[p + SPAN : p + MIN_RUN]
+            before = h
 
 
 def occurrences(df: DataFrame, id_col: str, text: F.Column, classes: DataFrame) -> DataFrame:
-    """Places of spans that several classes have, with the text SIDE code points before and behind."""
-    each = classes.select("class_id", F.posexplode("fps").alias("k", "fp"), "fps", "places")
-    each = each.select("class_id", "fp", F.col("places")[F.col("k")].alias("at"), F.when(F.col("k") > 0, F.col("fps")[F.greatest(F.col("k") - 1, F.lit(0))]).alias("prev"), F.when(F.col("k") > 0, F.col("places")[F.col("k")] - F.col("places")[F.greatest(F.col("k") - 1, F.lit(0))]).alias("back"))
-    twice = each.groupBy("fp").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.count("*").alias("n")).where("a < b").select("fp", F.col("n").cast("int").alias("n"))
-    hits = each.join(twice, "fp").groupBy("class_id").agg(F.collect_list(F.struct("fp", "n", "at", "prev", "back")).alias("hits"))
+    """Places of spans that several classes have, with the text SIDE code points before and behind, and the repeated span that touches from the left.
+
+    One shuffle of (span, class, place) serves the count and the join: both read the
+    same columns of it, so that it is reused."""
+    each = classes.select("class_id", F.explode(F.arrays_zip("fps", "places")).alias("s")).select("class_id", F.col("s.fps").alias("fp"), F.col("s.places").alias("at")).repartition("fp")
+    twice = each.groupBy("fp").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.count("*").alias("n"), F.max("at").alias("last")).where("a < b and last >= 0").select("fp", F.col("n").cast("int").alias("n"))
+    hits = each.join(twice, "fp").groupBy("class_id").agg(F.collect_list(F.struct("fp", "n", "at")).alias("hits"))
     texts = df.select(F.col(id_col).alias("class_id"), text.alias("text"))
     return map_rows(texts.join(hits, "class_id"), _with_context, "fp long, n int, class_id long, at int, prev long, back int, left string, right string")
 
