@@ -121,6 +121,74 @@ def mask_topology(text: str) -> Counter:
     return out
 
 
+def _quantile(values: list[int], q: float) -> float:
+    v = sorted(values)
+    if not v:
+        return 0.0
+    at = q * (len(v) - 1)
+    k = int(at)
+    return float(v[k] + (v[min(k + 1, len(v) - 1)] - v[k]) * (at - k))
+
+
+def sentence_rhythm(text: str) -> Counter:
+    """Lengths of sentences and clauses: means, deviations, quantiles, shares of short and long, and how shapes follow each other."""
+    han = lambda s: len(_HAN.findall(s))
+    sentences = [s for s in re.findall("[^。！？!?]+[。！？!?]*", text) if han(s)]
+    out: Counter = Counter()
+    lengths = [han(s) for s in sentences]
+    clauses = [n for s in sentences for n in map(han, re.split("[，,；;：:]", s)) if n]
+    for name, v, short, long in (("sentence", lengths, 12, 40), ("clause", clauses, 6, 24)):
+        mean = sum(v) / len(v) if v else 0.0
+        out[f"mean_{name}"] = mean
+        out[f"sd_{name}"] = (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5 if v else 0.0
+        for q in (10, 25, 50, 75, 90):
+            out[f"p{q}_{name}"] = _quantile(v, q / 100)
+        out[f"short_{name}"] = sum(x <= short for x in v) / max(1, len(v))
+        out[f"long_{name}"] = sum(x >= long for x in v) / max(1, len(v))
+    shapes = []
+    for s, n in zip(sentences, lengths):
+        commas = s.count("，") + s.count(",")
+        end = s.rstrip()[-1:]
+        shapes.append(f"{'S' if n <= 12 else 'M' if n <= 32 else 'L'}.{min(commas, 3)}.{'Q' if end in '？?' else 'E' if end in '！!' else 'D'}")
+    for x, n in Counter(shapes).items():
+        out[f"shape:{x}"] = n / len(shapes)
+    for (a, b), n in Counter(zip(shapes, shapes[1:])).items():
+        out[f"shapes:{a}>{b}"] = n / (len(shapes) - 1)
+    return out
+
+
+def function_grammar(text: str) -> Counter:
+    """Function words in order: rates per thousand Han by word and group, and shares of what follows what, sentence ends included."""
+    tokens = re.findall(_WORD.pattern + "|[。！？!?]", text)
+    n = max(1, len(_HAN.findall(text)))
+    out: Counter = Counter()
+    for t in tokens:
+        if t in WORD_GROUP:
+            out[f"rate:{t}"] += 1000 / n
+            out[f"group:{WORD_GROUP[t]}"] += 1000 / n
+    follows = Counter((a if a in WORD_GROUP else "|", b if b in WORD_GROUP else "|") for a, b in zip(tokens, tokens[1:]))
+    for (a, b), k in follows.items():
+        out[f"next:{a}>{b}"] = k / max(1, len(tokens) - 1)
+    out["diversity"] = len({t for t in tokens if t in WORD_GROUP}) / max(1, sum(t in WORD_GROUP for t in tokens))
+    return out
+
+
+def paragraph_discourse(text: str) -> Counter:
+    """Kinds of paragraphs: shares, sequences of up to three, and runs of speech."""
+    kinds = []
+    for p in filter(None, map(str.strip, text.splitlines())):
+        kinds.append("dialogue" if p[0] in "“\"「『" else "question" if p[-1] in "？?" else "attribution" if re.search("[说道问答喊叫笑]", p[:18]) else "narration")
+    out: Counter = Counter()
+    for n in (1, 2, 3):
+        grams = Counter(">".join(kinds[i : i + n]) for i in range(len(kinds) - n + 1))
+        for g, k in grams.items():
+            out[f"kinds{n}:{g}"] = k / (len(kinds) - n + 1)
+    runs = [len(r) for r in re.findall("d+", "".join(k[0] for k in kinds))]
+    out["dialogue_run_mean"], out["dialogue_run_max"] = sum(runs) / max(1, len(runs)), float(max(runs, default=0))
+    out["alternation"] = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(kinds) - 1)
+    return out
+
+
 FAMILIES: dict[str, Callable[[str], Counter]] = {
     "char_ngrams": char_ngrams,
     "punctuation_dialogue": punctuation_dialogue,
@@ -132,6 +200,9 @@ FAMILIES: dict[str, Callable[[str], Counter]] = {
     "combined_rich_function_words": _union(punctuation_dialogue, length_shape, function_chars, function_words),
     "mask_stripped_ngrams": mask_stripped_ngrams,
     "mask_topology": mask_topology,
+    "sentence_rhythm": sentence_rhythm,
+    "function_grammar": function_grammar,
+    "paragraph_discourse": paragraph_discourse,
 }
 
 

@@ -139,3 +139,104 @@ def balanced_blocks(sizes: list[int], blocks: int) -> list[tuple[int, int]]:
         out.append((back[k][j], j))
         j = back[k][j]
     return out[::-1]
+
+
+def word_windows(sizes: list[int], target: int, least: int) -> list[tuple[int, int]]:
+    """Consecutive items until the target is reached; a short tail joins the window before it, or is dropped if there is none."""
+    out, start, have = [], 0, 0
+    for k, n in enumerate(sizes):
+        have += n
+        if have >= target:
+            out.append((start, k + 1))
+            start, have = k + 1, 0
+    if start < len(sizes):
+        if have >= least:
+            out.append((start, len(sizes)))
+        elif out:
+            out[-1] = (out[-1][0], len(sizes))
+    return out
+
+
+def excerpt_windows(sizes: list[int], low: int = 330, high: int = 520) -> list[tuple[int, int]]:
+    """From every item the shortest stretch of at least low, if it does not exceed high."""
+    out, stop, have = [], 0, 0
+    for start in range(len(sizes)):
+        while stop < len(sizes) and have < low:
+            have += sizes[stop]
+            stop += 1
+        if low <= have <= high:
+            out.append((start, stop))
+        have -= sizes[start]
+    return out
+
+
+def aligned_windows(sizes: list[int], target: int = 1200, least: int = 600, most: int = 1500, merged: int = 1800) -> list[tuple[int, int]]:
+    """Windows over paragraphs that two versions share by index: packed like chunks, closed before `most`; a short tail joins the last one up to `merged`."""
+    out, start, have = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and have >= least and have + n > most:
+            out.append((start, k))
+            start, have = k, 0
+        have += n
+        if have >= target:
+            out.append((start, k + 1))
+            start, have = k + 1, 0
+    if start < len(sizes):
+        if out and have < least and sum(sizes[out[-1][0] : out[-1][1]]) + have <= merged:
+            out[-1] = (out[-1][0], len(sizes))
+        else:
+            out.append((start, len(sizes)))
+    return out
+
+
+def covering_windows(n: int, failed: list[int], width: int) -> list[tuple[int, int]]:
+    """Windows of at most width items that cover all failed positions, each with its failures in the middle."""
+    out: list[tuple[int, int]] = []
+    left = sorted(set(failed))
+    while left:
+        first = left[0]
+        inside = [f for f in left if f < first + width]
+        left = left[len(inside) :]
+        spare = width - (inside[-1] - first + 1)
+        a = max(0, min(first - spare // 2, n - width))
+        out.append((a, min(n, a + width)))
+    return out
+
+
+_NUMBERED = re.compile(r"^\s*(?:\(|（)?(\d{1,3}|[一二三四五六七八九十]{1,3})(?:\)|）|[.、．])\s*(\S.*)?$")
+
+
+def numbered_items(paragraphs: list[str]) -> list[int]:
+    """Positions of paragraphs numbered 1, 2, ... N in order, N at least 2; none if the numbers do not make such a list."""
+    from inkwell.functions.prose import parse_number
+
+    hits = [(k, parse_number(m[1])) for k, p in enumerate(paragraphs) if (m := _NUMBERED.match(p))]
+    return [k for k, _ in hits] if len(hits) >= 2 and [n for _, n in hits] == list(range(1, len(hits) + 1)) else []
+
+
+def rejoined(paragraphs: list[str]) -> list[str]:
+    """Paragraphs broken in the wrong place put together: one that ends in a comma, and one that is only a closing mark."""
+    out: list[str] = []
+    for p in paragraphs:
+        if out and p and (out[-1].endswith(("，", "、")) or p.strip() in ("”", "’", "」", "』")):
+            out[-1] += p.strip()
+        else:
+            out.append(p)
+    return out
+
+
+def note_ranges(paragraphs: list[str]) -> list[tuple[int, int]]:
+    """[start, stop) of author's notes: from a paragraph that opens one to the next scene break, heading or blank, or to the end."""
+    opens = re.compile(r"^\s*[【\[（(]?\s*作者(?:有话(?:要)?说|的话)")
+    stops = re.compile(r"^\s*(?:\*{3,}|[-—]{3,}|第[零〇一二三四五六七八九十百千\d]+[章节回])?\s*$|^\s*第[零〇一二三四五六七八九十百千\d]+[章节回]")
+    out, k = [], 0
+    while k < len(paragraphs):
+        if opens.match(paragraphs[k]):
+            j = k + 1
+            while j < len(paragraphs) and not stops.match(paragraphs[j]):
+                j += 1
+            out.append((k, j))
+            k = j
+        else:
+            k += 1
+    return out

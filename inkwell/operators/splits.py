@@ -73,3 +73,23 @@ def williams_square(n: int) -> list[list[int]]:
         lo, hi = (lo + 1, hi) if k % 2 else (lo, hi - 1)
     rows = [[(x + r) % n for x in seq] for r in range(n)]
     return rows if n % 2 == 0 else rows + [row[::-1] for row in rows]
+
+
+def diverse(rows: list[dict], n: int, strata: list[str], group: str, index: str, distance: int, salt: str) -> list[dict]:
+    """n rows chosen one by one: the least used strata first, then by salted hash of the id; rows of a group within distance of a chosen one are out.
+
+    For a bounded list of candidates, such as the first of every stratum by hash."""
+    import hashlib
+    from collections import Counter
+
+    order = sorted(rows, key=lambda r: (hashlib.sha256(f"{salt}:{r['id']}".encode()).hexdigest(), str(r["id"])))
+    used: Counter = Counter()
+    taken: list[dict] = []
+    while len(taken) < n:
+        free = [r for r in order if not any(r[group] == t[group] and abs(r[index] - t[index]) <= distance for t in taken)]
+        if not free:
+            break
+        best = min(free, key=lambda r: sum(used[s, r[s]] for s in strata))
+        taken.append(best)
+        used.update((s, best[s]) for s in strata)
+    return taken

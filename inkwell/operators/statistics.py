@@ -105,3 +105,32 @@ def wilson_lower(successes: int, total: int, z: float = 1.96) -> float:
         return 0.0
     p, d = successes / total, 1 + z * z / total
     return (p + z * z / (2 * total) - z * math.sqrt(p * (1 - p) / total + z * z / (4 * total * total))) / d
+
+
+def paired_difference(df: DataFrame, cluster: str, a: str, b: str, resamples: int = 200, seed: int = 13) -> DataFrame:
+    """Mean of a - b over rows with both, its bootstrap interval over clusters, and the table of agreement of two binary outcomes."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(cluster), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    boot = cluster_bootstrap(both.withColumn("d", F.col("a") - F.col("b")), cluster, "d", resamples, seed)
+    n = lambda x, y: F.sum(((F.col("a") == x) & (F.col("b") == y)).cast("long"))
+    return boot.crossJoin(both.agg(n(1, 1).alias("both"), n(1, 0).alias("only_a"), n(0, 1).alias("only_b"), n(0, 0).alias("neither")))
+
+
+def freedman_lane(outcome, reduced, added, permutations: int = 999, seed: int = 13) -> tuple[float, float]:
+    """Partial R2 of the added design given the reduced one, and its permutation p: residuals of the reduced fit are permuted.
+
+    For per-group summaries, which are few; arrays of floats."""
+    import numpy as np
+
+    y, x = np.asarray(outcome, float), np.asarray(reduced, float)
+    full = np.column_stack([x, np.asarray(added, float)])
+
+    def rss(m, v) -> float:
+        return float(((v - m @ np.linalg.lstsq(m, v, rcond=None)[0]) ** 2).sum())
+
+    fitted = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    residual = y - fitted
+    effect = lambda v: 1 - rss(full, v) / max(rss(x, v), 1e-300)
+    seen = effect(y)
+    rng = np.random.default_rng(seed)
+    as_large = sum(effect(fitted + rng.permutation(residual)) >= seen - 1e-12 for _ in range(permutations))
+    return seen, (as_large + 1) / (permutations + 1)

@@ -43,7 +43,7 @@ def flow_metrics(spark, d):
     return S.flow_metrics(table(spark, d, "documents"), "doc_id", "text")
 
 
-for _family in ("punctuation_dialogue", "length_shape", "function_words", "combined_rich_function_words", "mask_topology"):
+for _family in ("punctuation_dialogue", "length_shape", "function_words", "combined_rich_function_words", "mask_topology", "sentence_rhythm", "function_grammar", "paragraph_discourse"):
 
     def _one(spark, d, family=_family):
         """Feature counts of the corpus by family: documents with each feature, and its total."""

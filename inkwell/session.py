@@ -40,14 +40,27 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+_CUTS: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this process has cut; frames that still read them are lost. Returns how many there were."""
+    jvm, n = spark.sparkContext._jvm, len(_CUTS)
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs a read, and the planner
-    sees the true size of the table when it chooses a join."""
+    sees the true size of the table when it chooses a join. `sweep` removes the tables."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkwell-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -64,3 +64,34 @@ def books_as_files(chapters: DataFrame, books: DataFrame) -> DataFrame:
     ch = chapters.where("book_id is not null").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_id", "title", "paragraphs"))).alias("chapters"))
     base = ch.join(books.select("book_id", F.col("identifier").alias("book"), "title", F.col("creator").alias("author"), "lang"), "book_id").select("book", "title", "author", "lang", "chapters")
     return map_rows(base, _epubs, "book string, epub binary, text string", 20)
+
+
+def write_once(path: str, content: str) -> str:
+    """Write a local artifact, or accept it if it is there with the same content; a different one is a ValueError. Returns its sha256."""
+    import hashlib
+    import os
+
+    data = content.encode()
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            if f.read() != data:
+                raise ValueError(f"{path} holds something else")
+    else:
+        with open(path + ".part", "wb") as f:
+            f.write(data)
+        os.replace(path + ".part", path)
+    return hashlib.sha256(data).hexdigest()
+
+
+def bar_chart(title: str, rows: list[tuple[str, float]], width: int = 640) -> str:
+    """A bar chart as SVG; values from 0 on."""
+    e = html.escape
+    top = max((v for _, v in rows), default=0) or 1
+    bars = "".join(f'<text x="0" y="{44 + 24 * k}" font-size="13">{e(label)}</text><rect x="200" y="{32 + 24 * k}" width="{max(0.0, v / top) * (width - 280):.1f}" height="16" fill="#4477aa"/><text x="{206 + max(0.0, v / top) * (width - 280):.1f}" y="{44 + 24 * k}" font-size="12">{v:.3g}</text>' for k, (label, v) in enumerate(rows))
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{44 + 24 * len(rows)}"><text x="0" y="18" font-size="16">{e(title)}</text>{bars}</svg>'
+
+
+def markdown_table(columns: list[str], rows: list[tuple]) -> str:
+    """Rows as a Markdown table; bars and line ends in cells are escaped."""
+    cell = lambda v: ("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)).replace("|", "\\|").replace("\n", " ")
+    return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
