@@ -159,6 +159,18 @@ Please turn on cookies and reload this page.
 示例文本示例文本示例文本
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
 Your text goes here
+Insert text here
+Sample text sample text
+Dummy text dummy text
+test test test test
+asdf asdf asdf asdf
+qwerty qwerty qwerty
+foo bar foo bar
+blah blah blah blah
+xxx xxx xxx xxx
+占位文字占位文字占位文字
+填充文字填充文字填充文字
+此处文字待补充
 """,
 }
 # Syllables of filler Latin; every two in a row are an exemplar's words.
