@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from inkwell.operators.order import with_prefix
+
 
 def canonical_url(c: Column | str) -> Column:
     """host/path in lower-case host: no scheme, user, port, www. or m., query, fragment or slash at the end; null without a host."""
@@ -65,8 +67,8 @@ def strata(df: DataFrame, value: str) -> DataFrame:
     """df with low, medium or high by the terciles of all rows, and the percent rank, as columns stratum and percent."""
     cuts = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_c"))
     per = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    pct = per.select(F.col(value).alias("_v"), (below / F.greatest(F.sum("_n").over(W.partitionBy()) - 1, F.lit(1))).alias("percent"))
+    whole = per.agg(F.sum("_n").alias("_all"))
+    pct = with_prefix(per, value, {"_n": "_b"}).crossJoin(F.broadcast(whole)).select(F.col(value).alias("_v"), (F.col("_b") / F.greatest(F.col("_all") - 1, F.lit(1))).alias("percent"))
     out = df.crossJoin(F.broadcast(cuts)).join(pct, F.col(value) == F.col("_v"), "left")
     return out.withColumn("stratum", F.when(F.col(value) <= F.col("_c")[0], "low").when(F.col(value) <= F.col("_c")[1], "medium").when(F.col(value).isNotNull(), "high")).drop("_c", "_v")
 

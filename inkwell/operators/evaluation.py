@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from inkwell.operators.order import with_prefix
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -36,12 +38,12 @@ def confusions(rows: DataFrame, top: int = 10) -> DataFrame:
 def threshold_table(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """(threshold, sensitivity, specificity, balanced) of calling scores >= threshold positive, for every score that occurs.
 
-    rows: (truth 0/1, score). Ranks are running sums over distinct scores, not over rows."""
+    rows: (truth 0/1, score). Running sums go over distinct scores, range-partitioned."""
     w = F.col(weight) if weight else F.lit(1.0)
     per = rows.groupBy("score").agg(F.sum(F.when(F.col("truth") == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("truth") == 0, w).otherwise(0.0)).alias("neg"))
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    t = per.select(F.col("score").alias("threshold"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
+    whole = per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    placed = with_prefix(per.where("score is not null"), "score", {"pos": "_p", "neg": "_f"}, descending=True)
+    t = placed.crossJoin(F.broadcast(whole)).select(F.col("score").alias("threshold"), (F.col("_p") + F.col("pos")).alias("tp"), (F.col("_f") + F.col("neg")).alias("fp"), "p", "n")
     sens, spec = _safe(F.col("tp"), F.col("p")), _safe(F.col("n") - F.col("fp"), F.col("n"))
     return t.select("threshold", sens.alias("sensitivity"), spec.alias("specificity"), ((sens + spec) / 2).alias("balanced"))
 
@@ -57,8 +59,7 @@ def choose_threshold(table: DataFrame, sensitivity: float, specificity: float) -
 def auc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve by the rank sum, ties at half; null without both classes."""
     per = rows.groupBy("score").agg(F.sum((F.col("truth") == 1).cast("long")).alias("p"), F.sum((F.col("truth") == 0).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return per.select("p", "n", below.alias("below")).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
+    return with_prefix(per.where("score is not null"), "score", {"n": "below"}).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
 
 
 def calibration_error(rows: DataFrame, bins: int = 10, weight: str | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from inkwell.operators.order import numbered, with_prefix
+
 
 def wilson(successes: Column, total: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Lower and upper end of the Wilson interval; null where the total is 0."""
@@ -25,8 +27,11 @@ def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = No
     """Ranks from 1, ties at their mean. Nulls have none. Ranked over distinct values, so ties cost nothing."""
     by = by or []
     per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = per.select(*by, value, (before + (F.col("_n") + 1) / 2).alias(out))
+    if by:
+        placed = per.withColumn("_b", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        placed = with_prefix(per, value, {"_n": "_b"})
+    ranks = placed.select(*by, value, (F.col("_b") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value], "left")
 
 
@@ -59,11 +64,11 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, resamples: int =
     Null values and clusters are left out. Clusters are numbered once; each resample
     joins its draws to the clusters' sums."""
     per = df.where(F.col(value).isNotNull() & F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    numbered = per.withColumn("i", F.row_number().over(W.orderBy(cluster)) - 1)
+    clusters = numbered(per, cluster, "i")
     size = per.agg(F.count("*").alias("k"), (F.sum("s") / F.sum("n")).alias("mean"))
     spark = df.sparkSession
     draws = spark.range(resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(size)).where("k > 0").select("r", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("p"))
-    picked = draws.select("r", draw_index(F.col("r"), F.col("p"), F.col("k"), seed).alias("i")).join(numbered, "i")
+    picked = draws.select("r", draw_index(F.col("r"), F.col("p"), F.col("k"), seed).alias("i")).join(clusters, "i")
     means = picked.groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"), F.count("*").alias("resamples")).crossJoin(size).select("mean", "lower", "upper", "resamples", F.col("k").alias("clusters"))
 
@@ -74,8 +79,7 @@ def permutation_test(df: DataFrame, group: str, value: str, permutations: int =
     df: (id, group, value) with group 0 or 1."""
     base = df.select("id", F.col(group).cast("int").alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and g is not null")
     size = base.agg(F.count("*").alias("n"), F.sum("g").alias("ones"), (F.avg(F.when(F.col("g") == 1, F.col("v"))) - F.avg(F.when(F.col("g") == 0, F.col("v")))).alias("observed"))
-    spark = df.sparkSession
-    shuffled = base.crossJoin(F.broadcast(spark.range(permutations).withColumnRenamed("id", "r"))).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "id")))
+    shuffled = base.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long")))).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "id")))
     ranked = shuffled.withColumn("k", F.row_number().over(W.partitionBy("r").orderBy("h", "id"))).crossJoin(F.broadcast(size))
     d = ranked.groupBy("r").agg((F.avg(F.when(F.col("k") <= F.col("ones"), F.col("v"))) - F.avg(F.when(F.col("k") > F.col("ones"), F.col("v")))).alias("d"))
     return d.crossJoin(F.broadcast(size)).agg(F.max("observed").alias("observed"), ((F.sum((F.abs("d") >= F.abs("observed") - 1e-12).cast("long")) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("permutations"))

@@ -309,3 +309,19 @@ def test_profiles_prefer_their_own_author(spark):
     docs = spark.createDataFrame([("1", "x", 3), ("2", "y", 2), ("3", "none", 1)], "id string, feature string, n long")
     got = {r["id"]: r["pred"] for r in P.predict(P.score(docs, P.fit_profiles(counts, 10))).collect()}
     assert got == {"1": "a", "2": "b"}
+
+
+def test_global_order_is_that_of_one_sort(spark):
+    from inkwell.operators import order as O
+
+    rng = random.Random(1)
+    rows = [(x, rng.randint(0, 9)) for x in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(5)
+    for down in (False, True):
+        total, want = 0, {}
+        for k, v in sorted(rows, reverse=down):
+            want[k] = total
+            total += v
+        assert {r["k"]: r["b"] for r in O.with_prefix(df, "k", {"v": "b"}, down).collect()} == want
+    assert {r["k"]: r["no"] for r in O.numbered(df, "k").collect()} == {k: i for i, (k, _) in enumerate(sorted(rows))}
+    assert O.numbered(df.limit(0), "k").count() == 0
