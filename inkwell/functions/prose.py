@@ -219,9 +219,14 @@ def mixed_spaces(text: str) -> str:
     return re.sub(rf"(?<=[{_HAN}])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=[{_HAN}])", lambda m: "" if m.start() in keep else " ", text)
 
 
-RULES: list[tuple[str, Callable[[str], str]]] = [
-    ("half_width", half_width), ("tilde", tilde), ("zero", zero), ("runs", runs), ("pairs", pairs), ("marks", marks), ("quotes", quotes), ("single_quotes", single_quotes), ("doubled_quotes", doubled),
-    ("ads", ads), ("backslash", one_backslash), ("han_space", one_space), ("mark_space", mark_spaces), ("code_commas", code_commas), ("commas", commas), ("mixed_space", mixed_spaces),
+#: Name, rule, and a pattern without which the rule has nothing to do.
+RULES: list[tuple[str, Callable[[str], str], re.Pattern]] = [
+    (name, rule, re.compile(trigger))
+    for name, rule, trigger in (
+        ("half_width", half_width, "[０-９Ａ-Ｚａ-ｚ]"), ("tilde", tilde, "~"), ("zero", zero, "○"), ("runs", runs, r"\.{3}|。{3}|--"), ("pairs", pairs, r"[(\[]"), ("marks", marks, "[,.?!:;]"), ("quotes", quotes, '"'),
+        ("single_quotes", single_quotes, "['’]"), ("doubled_quotes", doubled, "““|””"), ("ads", ads, "资源群"), ("backslash", one_backslash, r"\\"), ("han_space", one_space, "[\t \u00a0\u3000]"), ("mark_space", mark_spaces, " "),
+        ("code_commas", code_commas, ","), ("commas", commas, "，[，。！？]"), ("mixed_space", mixed_spaces, "[A-Za-z0-9]"),
+    )
 ]
 
 
@@ -229,8 +234,8 @@ def normalise(text: str, counts: Counter | None = None, spaces: bool = True) ->
     """The text after all rules, in order, until nothing changes; counts gets the rules that changed it."""
     for _ in range(4):
         before = text
-        for name, rule in RULES:
-            if name == "mixed_space" and not spaces:
+        for name, rule, trigger in RULES:
+            if name == "mixed_space" and not spaces or trigger.search(text) is None:
                 continue
             done = rule(text)
             if done != text and counts is not None:

@@ -235,25 +235,26 @@ def _share(a: Column, b: Column, scale: float = 1.0) -> Column:
 
 
 def _times(c: str, chars: str) -> Column:
-    return F.length(F.regexp_replace(c, "[^" + "".join("\\" + x if x in "[]\\^-&" else x for x in chars) + "]", "")).cast("long")
+    return (F.length(c) - F.length(F.translate(F.col(c), chars, ""))).cast("long")
 
 
 def flow_metrics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Flow of a text in columns: counts, mean lengths, densities and rates per hundred Han characters.
 
-    A null text has no row; a blank one has zeros."""
+    All Han stand in lines and sentences that count, so mean lengths need no sum over
+    them. A null text has no row; a blank one has zeros."""
     base = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("t"))
-    base = base.withColumn("p", F.filter(F.transform(F.split("t", "\n"), X.strip), lambda x: x != "")).withColumn("s", F.filter(F.split("t", ENDS), lambda x: x.rlike("[\\u4e00-\\u9fff]")))
-    n = X.han_count("t")
-    length = lambda a: F.transform(a, lambda x: F.length(F.regexp_replace(x, X.NOT_HAN, "")))
-    mean = lambda a: F.coalesce(F.aggregate(length(a), F.lit(0), lambda x, y: x + y) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))
-    spoken = F.size(F.filter("p", lambda x: x.rlike("^[“\"「『]")))
-    chars = F.length("t").cast("long")
-    return base.select(
-        id_col, n.alias("han"), F.size("p").cast("long").alias("paragraphs"), F.size("s").cast("long").alias("sentences"), mean(F.col("p")).alias("mean_paragraph"), mean(F.col("s")).alias("mean_sentence"),
-        _share(_times("t", MARKS), chars).alias("mark_density"), _share(_times("t", SPEECH), chars).alias("speech_density"), _share(spoken, F.size("p")).alias("spoken_share"),
-        _share(_times("t", X.FUNCTION_CHARS), n, 100).alias("function_per_100"), _share(_times("t", "，"), n, 100).alias("comma_per_100"), _share(_times("t", "。"), n, 100).alias("period_per_100"),
-        _share(_times("t", "；："), n, 100).alias("colon_per_100"), _share(_times("t", "…—"), n, 100).alias("dash_per_100"),
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^ \\t\\n\\r\\x0B\\f\\u3000\\u00a0]"))
+    counted = base.select(
+        id_col, X.han_count("t").alias("han"), F.size(lines).cast("long").alias("paragraphs"), F.size(F.filter(F.split("t", ENDS), lambda x: x.rlike("[\\u4e00-\\u9fff]"))).cast("long").alias("sentences"),
+        F.size(F.filter(F.split("t", "\n"), lambda x: x.rlike("^[ \\t\\n\\r\\x0B\\f\\u3000\\u00a0]*[“\"「『]"))).alias("_spoken"), F.length("t").cast("long").alias("_chars"),
+        *[_times("t", chars).alias(k) for k, chars in (("_marks", MARKS), ("_speech", SPEECH), ("_function", X.FUNCTION_CHARS), ("_comma", "，"), ("_period", "。"), ("_colon", "；："), ("_dash", "…—"))],
+    )
+    c, n = F.col, F.col("han")
+    return counted.select(
+        id_col, "han", "paragraphs", "sentences", _share(n, c("paragraphs")).alias("mean_paragraph"), _share(n, c("sentences")).alias("mean_sentence"),
+        _share(c("_marks"), c("_chars")).alias("mark_density"), _share(c("_speech"), c("_chars")).alias("speech_density"), _share(c("_spoken"), c("paragraphs")).alias("spoken_share"),
+        *[_share(c(f"_{k}"), n, 100).alias(f"{k}_per_100") for k in ("function", "comma", "period", "colon", "dash")],
     )
 
 

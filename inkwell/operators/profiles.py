@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from inkwell.functions.arrow import arrow_schema, as_batch
+
+#: Most features that blocks of dense vectors are made of.
+DENSE = 8192
+
 
 def fit_profiles(counts: DataFrame, top: int) -> DataFrame:
     """(author, feature, weight): term frequency x smoothed inverse author frequency, the top features of each author, scaled to length 1.
@@ -36,6 +45,63 @@ def predict(scores: DataFrame, id_col: str = "id", digits: int = 9) -> DataFrame
     return r.groupBy(id_col).agg(F.max(F.struct("r", "author")).alias("m")).select(id_col, F.col("m.author").alias("pred"), F.col("m.r").alias("score"))
 
 
+class _Stack:
+    """Rows (key, features, values) stacked into blocks of dense vectors."""
+
+    def __init__(self, at: dict[str, int], size: int, ddl: str) -> None:
+        self.at, self.size, self.schema = at, size, arrow_schema(ddl)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = [], []
+        for b in batches:
+            for key, features, values in zip(*(b.column(j).to_pylist() for j in range(3))):
+                v = np.zeros(len(self.at))
+                for f, x in zip(features, values):
+                    if f in self.at:
+                        v[self.at[f]] = x
+                keys.append(key)
+                rows.append(v)
+                if len(keys) == self.size:
+                    yield as_batch([(keys, np.stack(rows).tobytes())], self.schema, 2)
+                    keys, rows = [], []
+        if keys:
+            yield as_batch([(keys, np.stack(rows).tobytes())], self.schema, 2)
+
+
+class _Best:
+    """The best author of a block for every text of a block."""
+
+    def __init__(self, width: int, digits: int, ddl: str) -> None:
+        self.width, self.digits, self.schema = width, digits, arrow_schema(ddl)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, x, authors, y in zip(*(b.column(j).to_pylist() for j in range(4))):
+                x, y = (np.frombuffer(v).reshape(-1, self.width) for v in (x, y))
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                order = sorted(range(len(authors)), key=lambda k: authors[k])
+                s = np.round(x / np.where(norm > 0, norm, 1) @ y[order].T, self.digits)
+                last = s.shape[1] - 1 - s[:, ::-1].argmax(axis=1)  # ties go to the greater name
+                yield as_batch([(i, authors[order[k]], float(s[r, k])) for r, (i, k) in enumerate(zip(ids, last)) if s[r, k] > 0], self.schema, 3)
+
+
+def best_author(counts: DataFrame, profiles: DataFrame, id_col: str = "id", digits: int = 9, block: int = 2048) -> DataFrame:
+    """What predict(score(...)) gives. With at most DENSE features, blocks of texts meet blocks of authors as dense vectors; with more, texts and profiles are joined on features."""
+    names = [r["feature"] for r in profiles.select("feature").distinct().limit(DENSE + 1).collect()]
+    if len(names) > DENSE:
+        return predict(score(counts, profiles, id_col), id_col, digits)
+    at = {f: k for k, f in enumerate(sorted(names))}
+    idf = profiles.groupBy("feature").agg(F.max("idf").alias("idf"))
+    docs = counts.join(idf, "feature").groupBy(id_col).agg(F.collect_list("feature").alias("f"), F.collect_list((F.col("n") * F.col("idf")).cast("double")).alias("v"))
+    people = profiles.groupBy("author").agg(F.collect_list("feature").alias("f"), F.collect_list("weight").alias("v"))
+    ddl = "keys array<string>, data binary"
+    x = docs.select(F.col(id_col).cast("string"), "f", "v").mapInArrow(_Stack(at, block, ddl), ddl).toDF("i", "x")
+    y = people.select("author", "f", "v").mapInArrow(_Stack(at, block, ddl), ddl).toDF("a", "y")
+    out = f"{id_col} string, author string, score double"
+    near = x.crossJoin(y).select("i", "x", "a", "y").mapInArrow(_Best(len(at), digits, out), out)
+    return near.groupBy(id_col).agg(F.max(F.struct("score", "author")).alias("m")).select(id_col, F.col("m.author").alias("pred"), F.col("m.score").alias("score"))
+
+
 def book_vote(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, pred): the prediction most chunks of a book have; ties go to the greater name."""
     v = predictions.groupBy(*keys, "pred").agg(F.count("*").alias("votes"))

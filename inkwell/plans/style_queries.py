@@ -89,7 +89,7 @@ p AS (SELECT rid, gold, title, split, max(ROW(round(dot / norm, 9), author)) AS
 def _predictions(spark, d):
     c = _counts(spark, d)
     rest = c.where("split <> 'train'").withColumn("id", F.concat_ws("\u0001", "rid", "author", "title", "split"))
-    got = P.predict(P.score(rest.select("id", "feature", "n"), P.fit_profiles(c.where("split = 'train'"), 40)))
+    got = P.best_author(rest.select("id", "feature", "n"), P.fit_profiles(c.where("split = 'train'"), 40))
     part = F.split("id", "\u0001")
     return got.select(part[0].alias("rid"), part[1].alias("gold"), part[2].alias("title"), part[3].alias("split"), "pred", "score")
 

@@ -309,6 +309,8 @@ def test_profiles_prefer_their_own_author(spark):
     docs = spark.createDataFrame([("1", "x", 3), ("2", "y", 2), ("3", "none", 1)], "id string, feature string, n long")
     got = {r["id"]: r["pred"] for r in P.predict(P.score(docs, P.fit_profiles(counts, 10))).collect()}
     assert got == {"1": "a", "2": "b"}
+    dense = {r["id"]: (r["pred"], r["score"]) for r in P.best_author(docs, P.fit_profiles(counts, 10), block=1).collect()}
+    assert dense == {r["id"]: (r["pred"], r["score"]) for r in P.predict(P.score(docs, P.fit_profiles(counts, 10))).collect()}
 
 
 def test_global_order_is_that_of_one_sort(spark):
