@@ -38,15 +38,10 @@ class CountTokens:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(self.data)
         for b in batches:
-            n = [0 if t is None else _count(enc, t) for t in b.column(1).to_pylist()]
+            n = [0 if t is None else len(enc.encode_ordinary(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(b.column(j) for j in range(2, b.num_columns))], schema=self.schema)
 
 
-def _count(enc: tiktoken.Encoding, text: str) -> int:
-    """Very long texts are cut at line ends, where tokens end as well but for white space."""
-    return len(enc.encode_ordinary(text))
-
-
 def token_counts(df: DataFrame, id_col: str, text_col: str, keep: dict[str, str] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, tokens, *keep): keep names columns and their types; a null text has 0 tokens."""
     keep = keep or {}
