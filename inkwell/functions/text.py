@@ -23,8 +23,6 @@ BOILERPLATE = (
     "营养液加更|感谢.*营养液|这个段落是图片段落|请访问正确的网站|原版未篡改内容请移至|关闭广告拦截功能|退出浏览器阅读模式"
 )
 URL = "(?i)https?://|www\\.|\\.com|\\.net|\\.org"
-# Second names of authors, with the main one.
-AUTHOR_ALIASES = {"顾雪柔": "非天夜翔"}
 
 
 def col(c: Column | str) -> Column:
@@ -160,9 +158,11 @@ def safe_id(c: Column | str) -> Column:
     return F.when(s == "", "untitled").otherwise(s)
 
 
-def canonical_author(c: Column | str) -> Column:
-    """An author's main name."""
-    m = F.create_map(*[F.lit(x) for kv in AUTHOR_ALIASES.items() for x in kv])
+def canonical_author(c: Column | str, aliases: dict[str, str]) -> Column:
+    """An author's main name, by a map of second names."""
+    if not aliases:
+        return col(c)
+    m = F.create_map(*[F.lit(x) for kv in sorted(aliases.items()) for x in kv])
     return F.coalesce(F.try_element_at(m, col(c)), col(c))
 
 

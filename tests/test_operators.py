@@ -327,3 +327,9 @@ def test_global_order_is_that_of_one_sort(spark):
         assert {r["k"]: r["b"] for r in O.with_prefix(df, "k", {"v": "b"}, down).collect()} == want
     assert {r["k"]: r["no"] for r in O.numbered(df, "k").collect()} == {k: i for i, (k, _) in enumerate(sorted(rows))}
     assert O.numbered(df.limit(0), "k").count() == 0
+
+
+def test_canonical_author(spark):
+    df = spark.createDataFrame([("乙",), ("甲",), (None,)], "a string")
+    assert [r[0] for r in df.select(X.canonical_author("a", {"乙": "甲"})).collect()] == ["甲", "甲", None]
+    assert [r[0] for r in df.select(X.canonical_author("a", {})).collect()] == ["乙", "甲", None]
