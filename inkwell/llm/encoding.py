@@ -4,7 +4,7 @@ Method: join garbled records with clean near-twins on text stripped of
 non-ASCII characters, infer transformations by character alignment, and apply
 learned mappings to remaining records.
 
-Three passes over all paragraphs. The first counts code points. The second
+Three passes over all paragraphs. The first counts code points over distinct texts. The second
 picks garbled and clean paragraphs with the same ASCII skeleton, aligns the
 stretches between the ASCII characters and votes for the transformations
 (right encoding, wrong encoding) that turn the clean stretch into the garbled
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from inkwell.functions.arrow import arrow_schema, as_batch, map_rows
-from inkwell.llm.points import TOP, census, points_of
+from inkwell.llm.points import TOP, points_of
 from inkwell.session import cut
 
 #: Encodings that texts are written in, and encodings they are wrongly read as.
@@ -79,25 +79,45 @@ TRANSFORMS = [(r, w) for r in RIGHT for w in (*WRONG_BYTES, *WRONG_WIDE) if r !=
 
 @dataclass
 class Model:
-    """What restoring needs: log likelihood by code point, and votes by transformation."""
+    """What restoring needs: log likelihood by code point, and votes by transformation.
+
+    logp is counted over distinct texts, of which one that stands n times weighs as much as log2(n)
+    others more, so that a garbled line repeated often does not make its own characters likely.
+    usual also knows every repeat (logp if left out): what is restored to the words of a clean
+    line repeated often is plausible."""
 
     logp: np.ndarray
     votes: dict[tuple[str, str], int] = field(default_factory=dict)
+    usual: np.ndarray | None = None
 
     def __post_init__(self) -> None:
-        self.seen: dict[str, float] = {}
+        self.usual = self.logp if self.usual is None else np.maximum(self.usual, self.logp)
+        self.tables: dict[tuple[str, str], np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        at = np.flatnonzero(self.logp > self.logp.min())
-        return {"at": at.astype(np.int32), "p": self.logp[at].astype(np.float32), "low": float(self.logp.min()), "votes": self.votes}
+        at = np.flatnonzero((self.logp > self.logp.min()) | (self.usual > self.usual.min()))
+        low = float(self.logp.min()), float(self.usual.min())
+        return {"at": at.astype(np.int32), "p": self.logp[at].astype(np.float32), "u": self.usual[at].astype(np.float32), "low": low, "votes": self.votes}
 
     def __setstate__(self, s: dict) -> None:
-        self.logp = np.full(TOP, s["low"], dtype=np.float32)
-        self.logp[s["at"]] = s["p"]
-        self.votes, self.seen = s["votes"], {}
+        self.logp, self.usual = (np.full(TOP, low, dtype=np.float32) for low in s["low"])
+        self.logp[s["at"]], self.usual[s["at"]] = s["p"], s["u"]
+        self.votes, self.tables = s["votes"], {}
+
+    def gains(self, right: str, wrong: str) -> np.ndarray:
+        if (right, wrong) not in self.tables:
+            self.tables[right, wrong] = _gains(self.logp, right, wrong)
+        return self.tables[right, wrong]
 
     def score(self, text: str) -> float:
-        return float(self.logp[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].sum())
+        return float(self.logp[_points(text)].sum())
+
+    def plausible(self, text: str) -> bool:
+        return float(self.usual[_points(text)].sum()) / len(text) >= PLAUSIBLE
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def likelihoods(counts: np.ndarray) -> np.ndarray:
@@ -124,34 +144,93 @@ def _foreign() -> np.ndarray:
 
 
 FOREIGN = _foreign()
-#: How two replacement characters begin when misread in turn; common where much was lost, so not unlikely.
-LOST_SIGNS = sorted({m[:2] for w in WRONG_WIDE if (m := misread(LOST * 2, "utf-8", w)) is not None})
-_WINDOW = 4
-_RARE_MEAN = -9.3
-#: A single foreign character likelier than this is part of the language.
-_COMMON = -8.5
+#: Transformations between two-byte encodings, and of UTF-8 into one; what they leave need not hold a foreign code point.
+WIDE = [t for t in TRANSFORMS if t[0] != "utf-8" and t[1] in WRONG_WIDE]
+UTF8_WIDE = [("utf-8", w) for w in WRONG_WIDE]
+ONE_BYTE = [t for t in TRANSFORMS if t[1] in WRONG_BYTES]
+#: Least gain of a restored stretch; see _undo_wide.
+_LEAST_STRETCH = 4.5
+
+
+@lru_cache(maxsize=None)
+def _unread(right: str, wrong: str) -> np.ndarray:
+    """By code point below 0x10000 what it was before a misreading between two-byte encodings: itself for ASCII, -1 if there is none."""
+    out = np.full(0x10001, -1, dtype=np.int32)
+    out[:0x80] = np.arange(0x80)
+    for c in range(0x80, 0x10000):
+        if (x := _wide.__wrapped__(chr(c), right, wrong)) is not None:
+            out[c] = ord(x)
+    return out
+
+
+@lru_cache(maxsize=None)
+def _utf8_roles(wrong: str) -> np.ndarray:
+    """By code point below 0x10000 which two bytes of UTF-8 it can stand for: 1 lead and trail, 2 trail and lead, 4 two trails, 8 any and lead, 16 trail and any."""
+    out = np.zeros(0x10001, dtype=np.uint8)
+    lead, trail = lambda b: 0xE2 <= b <= 0xEF, lambda b: 0x80 <= b <= 0xBF
+    for c in range(0x80, 0x10000):
+        try:
+            b = chr(c).encode(wrong)
+        except UnicodeEncodeError:
+            continue
+        first, last, two = b[0], b[-1], len(b) == 2
+        out[c] = (two and lead(first) and trail(last)) | (two and trail(first) and lead(last)) << 1 | (two and trail(first) and trail(last)) << 2 | lead(last) << 3 | trail(first) << 4
+    return out
 
 
-def suspects(p, logp: np.ndarray) -> np.ndarray:
-    """Which texts deserve a closer look: a foreign code point, or a window of unlikely ones."""
+def _gains(logp: np.ndarray, right: str, wrong: str) -> np.ndarray:
+    """By code point below 0x10000 the gain of undoing it, as in _undo_wide."""
+    back = _unread(right, wrong)
+    own = np.append(logp[:0x10000], np.float32(0))
+    return np.where(back < 0, np.float32(-4), np.where(back == np.arange(0x10001), np.float32(0), logp[np.maximum(back, 0)] - own)).astype(np.float32)
+
+
+def candidates(p, model: Model) -> tuple[np.ndarray, list[tuple[str, str]]]:
+    """Bits by text: 1 anything to look at, 2 a foreign code point, 4 and up the transformations of the list.
+
+    A transformation is left out only where undo() can find nothing of it: a misreading by a
+    one-byte encoding leaves a foreign code point; one of UTF-8 by a two-byte encoding leaves the
+    bytes of two characters in a row; one between two-byte encodings needs a stretch of a gain."""
+    listed = [*UTF8_WIDE, *WIDE]
     n = len(p.starts) - 1
-    if n == 0:
-        return np.zeros(0, dtype=bool)
-    odd = FOREIGN[p.points]
-    pairs = np.append(odd[:-1] & odd[1:], False) if len(odd) else odd
-    signs = p.points == ord(LOST)
-    for a, b in LOST_SIGNS:
-        signs[:-1] |= (p.points[:-1] == ord(a)) & (p.points[1:] == ord(b))
-    flags = p.counts(pairs | odd & (logp[p.points] < _COMMON) | signs) > 0
-    if len(p.points) >= _WINDOW:
-        lp = np.where(p.points < 128, -4.0, logp[p.points]).astype(np.float32)
-        sums = lp[: -_WINDOW + 1].copy()
-        for k in range(1, _WINDOW):
-            sums += lp[k : len(lp) - _WINDOW + 1 + k]
-        low = np.zeros(len(p.points), dtype=bool)
-        low[: len(sums)] = sums < _WINDOW * _RARE_MEAN
-        flags |= p.counts(low) > 0
-    return flags
+    bits = np.zeros(n, dtype=np.int64)
+    if not len(p.points):
+        return bits, listed
+    bits |= (p.counts(p.points == ord(LOST)) > 0) | (p.counts(FOREIGN[p.points]) > 0) * 3
+    wide = np.flatnonzero(p.points > 0x7F)
+    ends = np.searchsorted(wide, p.starts)  # text k's characters outside ASCII are wide[ends[k] : ends[k + 1]]
+    at = np.minimum(p.points[wide], 0x10000)
+    for k, (right, wrong) in enumerate(listed):
+        if right == "utf-8":
+            r = np.concatenate((np.zeros(2, dtype=np.uint8), _utf8_roles(wrong)[at], np.zeros(2, dtype=np.uint8)))
+            first = np.flatnonzero(r & 1)
+            run = (r[first + 1] & 2 > 0) & (r[np.minimum(first + 2, len(r) - 1)] & 4 > 0)
+            run |= (r[first - 2] & 8 > 0) & (r[first - 1] & 4 > 0) & (r[first + 1] & 16 > 0)
+            found = np.zeros(n, dtype=bool)
+            found[np.searchsorted(ends, first[run] - 2, "right") - 1] = True
+        else:
+            found = _has_stretch(model.gains(right, wrong)[at], ends, GAIN_KNOWN)
+        bits |= found * (1 | 4 << k)
+    return bits, listed
+
+
+def _has_stretch(g: np.ndarray, ends: np.ndarray, need: float) -> np.ndarray:
+    """Which texts hold a stretch that gains _LEAST_STRETCH, and gains of `need` in all."""
+    up = np.flatnonzero(g > 0)
+    out = np.zeros(len(ends) - 1, dtype=bool)
+    total = np.bincount(np.searchsorted(ends, up, "right") - 1, weights=g[up], minlength=len(out))
+    for k in np.flatnonzero(total >= need):
+        part = np.concatenate(([0.0], np.cumsum(g[ends[k] : ends[k + 1]], dtype=np.float64)))
+        out[k] = (part - np.minimum.accumulate(part)).max() >= _LEAST_STRETCH
+    return out
+
+
+def suspects(p, model: Model) -> Iterator[tuple[int, set[tuple[str, str]]]]:
+    """The texts that can be garbled, and the transformations to try on each."""
+    bits, listed = candidates(p, model)
+    for k in np.flatnonzero(bits):
+        b = int(bits[k])
+        yield int(k), {t for j, t in enumerate(listed) if b >> 2 + j & 1} | (set(ONE_BYTE) if b & 2 else set())
 
 
 # ---- undoing ---------------------------------------------------------------------
@@ -238,7 +317,7 @@ def undo(text: str, right: str, wrong: str, model: Model, known: bool = False) -
             out.append((start, stop, plain, 1e3, True))
             continue
         s = model.score(plain)
-        out.append((start, stop, plain, s - model.score(text[start:stop]), s / len(plain) >= PLAUSIBLE and (len(plain) >= (1 if known else 3) or right == "utf-8")))
+        out.append((start, stop, plain, s - model.score(text[start:stop]), model.plausible(plain) and (len(plain) >= (1 if known else 3) or right == "utf-8")))
     return out
 
 
@@ -253,9 +332,6 @@ def _wide(c: str, right: str, wrong: str) -> str | None:
 
 def _undo_wide(text: str, right: str, wrong: str, model: Model, least: int) -> list[tuple[int, int, str, float, bool]]:
     """Both encodings use two bytes a character: the stretch with the greatest gain, again and again."""
-    rare = model.logp[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] < PLAUSIBLE
-    if rare.sum() < 2:
-        return []
     mapped = [_wide(c, right, wrong) if ord(c) > 127 else c for c in text]
     lp = model.logp
     gains = [-4.0 if m is None else 0.0 if m == c else float(lp[ord(m)] - lp[ord(c)]) for c, m in zip(text, mapped)]
@@ -271,7 +347,7 @@ def _undo_wide(text: str, right: str, wrong: str, model: Model, least: int) -> l
             piece = "".join(m or c for c, m in zip(text[start:stop], mapped[start:stop]))
             changed = [k for k in range(start, stop) if mapped[k] not in (None, text[k])]
             enough = len(changed) >= 3 or len(changed) >= least and best >= GAIN_SHORT and not any("\uf900" <= text[k] <= "\ufaff" for k in changed)  # those are look-alikes
-            if enough and best >= 1.5 * len(changed) and sum(float(lp[ord(mapped[k])]) for k in changed) / len(changed) >= PLAUSIBLE:
+            if enough and best >= 1.5 * len(changed) and model.plausible("".join(mapped[k] for k in changed)):
                 out.append((start, stop, piece, best, True))
             i = stop
         else:
@@ -308,12 +384,16 @@ def _undo_marks(text: str, wrong: str, model: Model) -> list[tuple[int, int, str
     return spots if (marks or capitals and capitals == len(spots)) and sum(s[3] for s in spots) > 0 else []
 
 
-def restore(text: str, model: Model) -> tuple[str | None, str] | None:
-    """None if the text is not garbled; else (restored text or None where something was lost, what was undone)."""
+def restore(text: str, model: Model, among: set[tuple[str, str]] | None = None) -> tuple[str | None, str] | None:
+    """None if the text is not garbled; else (restored text or None where something was lost, what was undone).
+
+    among: the only transformations that can be found, if that is known."""
     if LOST in text:
         return None, "characters lost"
     best: tuple[float, str, str] | None = None
     for right, wrong in _ordered(model):
+        if among is not None and (right, wrong) not in among:
+            continue
         known = model.votes.get((right, wrong), 0) > 0
         spans = undo(text, right, wrong, model, known)
         if not spans:
@@ -347,20 +427,18 @@ def _ordered(model: Model) -> list[tuple[str, str]]:
 class _Skeletons:
     """(skeleton, text, garbled) of paragraphs that can have a twin: ASCII only, digit runs as one mark."""
 
-    def __init__(self, logp: np.ndarray) -> None:
-        self.model, self.schema = Model(logp), arrow_schema("skeleton string, text string, odd boolean")
+    def __init__(self, model: Model) -> None:
+        self.model, self.schema = model, arrow_schema("skeleton string, text string, odd boolean")
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strip, digits = re.compile("[^!-~]+"), re.compile("[0-9]+")
         for b in batches:
             p = points_of(b.column(0))
-            odd = suspects(p, self.model.logp)
             enough = p.counts((p.points > 32) & (p.points < 127)) >= 4
             some = p.counts(p.points > 127) > 0
-            rows = []
-            for k in np.flatnonzero(enough & some):
-                text = p.texts[int(k)].as_py()
-                rows.append((digits.sub("0", strip.sub("", text)), text, bool(odd[k])))
+            texts = p.texts.take(pa.array(np.flatnonzero(enough & some)))
+            odd = candidates(points_of(texts), self.model)[0] > 0
+            rows = [(digits.sub("0", strip.sub("", t)), t, bool(o)) for t, o in zip(texts.to_pylist(), odd)]
             for lo in range(0, len(rows), 20_000):
                 yield as_batch(rows[lo : lo + 20_000], self.schema, 3)
 
@@ -386,15 +464,47 @@ def _votes(cols: dict[str, list]) -> Iterator[tuple]:
                 yield (*t, 1)
 
 
-def learn(df: DataFrame, list_col: str = "paragraphs", counts: np.ndarray | None = None) -> Model:
-    """The model of the paragraphs in list_col; counts: their code points, if counted already.
+class _Weighed:
+    """Counts of code points over distinct texts, with their weights, and over all: the texts come with how often they stand."""
+
+    def __init__(self) -> None:
+        self.schema = arrow_schema("point int, once long, n long")
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, total = np.zeros(TOP, dtype=np.int64), np.zeros(TOP, dtype=np.int64)
+        for b in batches:
+            p, n = points_of(b.column(0)), b.column(1).to_numpy()
+            if len(p.points):
+                single = np.bincount(p.points, minlength=TOP)
+                once += single
+                total += single
+                for k in np.flatnonzero(n > 1):
+                    own = p.points[p.starts[k] : p.starts[k + 1]]
+                    np.add.at(once, own, int(n[k]).bit_length() - 1)
+                    np.add.at(total, own, n[k] - 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(once[at], pa.int64()), pa.array(total[at], pa.int64())], schema=self.schema)
+
+
+def counted(df: DataFrame, list_col: str) -> Model:
+    """The likelihoods of list_col's texts: weighed, and over all."""
+    each = df.select(F.explode(list_col).alias("p")).where("p is not null").groupBy("p").agg(F.count("*").alias("n"))
+    rows = each.mapInArrow(_Weighed(), "point int, once long, n long").groupBy("point").agg(F.sum("once").alias("once"), F.sum("n").alias("n"))
+    once, total = np.zeros(TOP, dtype=np.int64), np.zeros(TOP, dtype=np.int64)
+    for r in rows.toLocalIterator():
+        once[r["point"]], total[r["point"]] = r["once"], r["n"]
+    return Model(likelihoods(once), usual=likelihoods(total))
+
+
+def learn(df: DataFrame, list_col: str = "paragraphs") -> Model:
+    """The model of the paragraphs in list_col.
 
     Of the clean texts with one skeleton TWINS, chosen by hash, are aligned with
     each garbled one; votes are evidence for a transformation and need no more.
     What reaches the driver: counts by code point, and votes by transformation."""
-    logp = likelihoods(census(df, [list_col]) if counts is None else counts)
+    model = counted(df, list_col)
     ddl = "skeleton string, text string, odd boolean"
-    each = df.select(F.col(list_col).alias("p")).mapInArrow(_Skeletons(logp), ddl).withColumn("key", F.xxhash64("skeleton"))
+    each = df.select(F.col(list_col).alias("p")).mapInArrow(_Skeletons(model), ddl).withColumn("key", F.xxhash64("skeleton"))
     each = cut(each.select("key", "text", "odd"))
     garbled = cut(each.where("odd").select("key", "text").distinct())
     keys = cut(garbled.select("key").distinct())
@@ -403,7 +513,7 @@ def learn(df: DataFrame, list_col: str = "paragraphs", counts: np.ndarray | None
     twins = least.groupBy("key").agg(F.collect_list("text").alias("clean"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     votes = map_rows(garbled.join(twins, "key").select("text", "clean").repartition(parts), _votes, "right string, wrong string, n int").groupBy("right", "wrong").agg(F.sum("n").alias("n"))
-    return Model(logp, {(r["right"], r["wrong"]): r["n"] for r in votes.collect()})
+    return Model(model.logp, {(r["right"], r["wrong"]): r["n"] for r in votes.collect()}, model.usual)
 
 
 class _Find:
@@ -415,9 +525,9 @@ class _Find:
             ids = b.column(0).to_pylist()
             p = points_of(b.column(1))
             rows = []
-            for k in np.flatnonzero(suspects(p, self.model.logp)):
-                text = p.texts[int(k)].as_py()
-                if (r := restore(text, self.model)) is not None:
+            for k, among in suspects(p, self.model):
+                text = p.texts[k].as_py()
+                if (r := restore(text, self.model, among)) is not None:
                     rows.append((ids[p.row[k]], int(p.no[k]), text, r[0], r[1]))
             yield as_batch(rows, self.schema, 5)
 

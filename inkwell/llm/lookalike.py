@@ -210,13 +210,13 @@ class _Variants:
                     if late.any():  # runs of U+3000 that do not begin the text
                         hit |= _late_runs(p, late, first[:-1])
                 some = p.counts(hit) > 0
-                odd = suspects(p, self.garbled.logp) if self.garbled is not None and not title else None
+                odd = dict(suspects(p, self.garbled)) if self.garbled is not None and not title else {}
                 for k in np.flatnonzero(some):
                     text = p.texts[int(k)].as_py()
                     form = self.rewriter(text)
                     if form == text or T.consistent(text) == text:
                         continue
-                    if odd is not None and odd[k] and restore(text, self.garbled) is not None:
+                    if k in odd and restore(text, self.garbled, odd[k]) is not None:
                         continue
                     rows.append((ids[p.row[k]], -1 if title else int(p.no[k]), text, form))
             for lo in range(0, len(rows), 5000):
@@ -243,7 +243,7 @@ def variants(df: DataFrame, id_col: str = "chapter_id", title_col: str = "title"
     if skip_garbled:
         from inkwell.llm.encoding import learn
 
-        model = learn(df, list_col, counts)
+        model = learn(df, list_col)
     ddl = "id long, para_no int, text string, form string"
     base = df.select(F.col(id_col).alias("id"), F.col(title_col).alias("t"), F.col(list_col).alias("p"))
     return base.mapInArrow(_Variants(Rewriter(counts), model, ddl), ddl)

@@ -80,3 +80,18 @@ def test_clean_text_stays(spark, text):
 
 def test_empty(spark):
     assert E.garbled_paragraphs(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_repeated_lines_are_looked_at(spark):
+    """A garbled line in a third of the chapters, and with another number in another, makes its own characters common."""
+    rng = random.Random(3)
+    line = "请记住本站域名并收藏本页"
+    pool = [c for c in line + "".join(CHINESE) if "一" <= c <= "鿿"]
+    docs = [["".join(rng.choices(pool, k=20)) + "。" for _ in range(6)] for _ in range(900)]
+    bad = E.misread(line, "utf-8", "gb18030")
+    for i in range(0, len(docs), 3):
+        docs[i].append(bad)
+        docs[i + 1].append(f"{i}：{bad}")
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(docs)], "chapter_id long, paragraphs array<string>")
+    got = {r["id"]: r["restored"] for r in E.garbled_paragraphs(df).collect()}
+    assert got == {i: line if i % 3 == 0 else f"{i - 1}：{line}" for i in range(len(docs)) if i % 3 < 2}
