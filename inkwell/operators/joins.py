@@ -75,18 +75,28 @@ def pivot_views(df: DataFrame, keys: list[str], view: str, value: str, views: li
     return df.groupBy(*keys).pivot(view, views).agg(F.first(value, ignorenulls=True))
 
 
+def _words(c: Column) -> Column:
+    """Lower-case words: runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+
+
 def glossary_hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, target, n): glossary terms by whole words, aliases counted for their target.
 
-    Texts are cut into lower-case words and word pairs once, and joined to the
-    terms on them; a conflicting alias goes to the least target."""
+    Terms and texts are cut into words by one rule, and texts into runs of as many
+    words as terms have (the driver gets these numbers); the runs are joined to the
+    terms. A conflicting alias goes to the least target."""
     all_terms = terms.select("target", F.explode(F.array_union(F.array("source"), F.coalesce(F.col("aliases"), F.array().cast("array<string>")))).alias("t")).where("t is not null and target is not null")
-    known = all_terms.select(F.lower(F.trim("t")).alias("t"), "target").where("t <> ''").groupBy("t").agg(F.min("target").alias("target"))
-    w = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), F.lit(0))
-    base = texts.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w") > 0)
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    each = base.select("id", F.explode(F.concat(F.col("w"), pairs)).alias("t"))
-    return each.join(known, "t").groupBy("id", "target").agg(F.count("*").alias("n"))
+    known = all_terms.select(_words(F.col("t")).alias("w"), "target").where(F.size("w") > 0).groupBy(F.concat_ws(" ", "w").alias("t"), F.size("w").alias("k")).agg(F.min("target").alias("target"))
+    lengths = sorted(r["k"] for r in known.select("k").distinct().collect())
+    base = texts.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+
+    def runs(k: int) -> Column:
+        all_runs = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.concat_ws(" ", F.slice("w", i, k)))
+        return F.when(F.size("w") >= k, F.col("w") if k == 1 else all_runs).otherwise(F.array().cast("array<string>"))
+
+    each = base.select("id", F.explode(F.concat(F.array().cast("array<string>"), *[runs(k) for k in lengths])).alias("t"))
+    return each.join(known.select("t", "target"), "t").groupBy("id", "target").agg(F.count("*").alias("n"))
 
 
 def unique_url_targets(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -333,3 +333,11 @@ def test_canonical_author(spark):
     df = spark.createDataFrame([("乙",), ("甲",), (None,)], "a string")
     assert [r[0] for r in df.select(X.canonical_author("a", {"乙": "甲"})).collect()] == ["甲", "甲", None]
     assert [r[0] for r in df.select(X.canonical_author("a", {})).collect()] == ["乙", "甲", None]
+
+
+def test_glossary_terms_of_any_number_of_words(spark):
+    terms = spark.createDataFrame([("Long after supper", "晚饭后很久", None), ("lamp", "灯", ["the old oil lamp"]), ("King's night-watch", "夜巡", None), ("Café", "咖啡馆", ["——"])], "source string, target string, aliases array<string>")
+    texts = spark.createDataFrame([(1, "Long after supper, the old oil lamp was lit."), (2, "The king’s night-watch met long after."), (3, "A CAFÉ; a lamp"), (4, ""), (5, None), (6, "cafés, lamps")], "id long, text string")
+    got = {tuple(r) for r in J.glossary_hits(texts, terms, "id", "text").collect()}
+    assert got == {(1, "晚饭后很久", 1), (1, "灯", 2), (2, "夜巡", 1), (3, "咖啡馆", 1), (3, "灯", 1)}
+    assert J.glossary_hits(texts, terms.limit(0), "id", "text").count() == 0
