@@ -7,9 +7,8 @@ merged windows.
 A concept is an entry with both sides. Every term is a vector over concepts
 (where it occurs, centred), and a join of both sides' postings on the concept
 gives the cosine of every pair of terms that ever meet; pairs below LEAST are
-dropped. CONCEPTS entries chosen by hash are the concepts, a documented bound
-on what is fitted; term frequencies are counted over all entries, and all
-entries are aligned. A sentence pair's score is how much of the weight of each
+dropped. All distinct entries are concepts, and all entries are aligned. A
+sentence pair's score is how much of the weight of each
 sentence the other's terms explain by their best cosine. The best pair is
 taken, what it explains is used up on both sides, and the rest is scored again:
 so an element that holds several sentences finds all its partners, wherever
@@ -31,7 +30,6 @@ from inkwell.functions.arrow import arrow_schema, as_batch, map_rows
 from inkwell.functions.textform import consistent
 from inkwell.session import cut
 
-CONCEPTS = 1000
 #: Least cosine of two terms, and how many of the best partners of a term are kept.
 LEAST, PARTNERS = 0.15, 64
 #: A term in fewer concepts has no vector; one in more than this share tells nothing.
@@ -175,21 +173,22 @@ class Lexicon:
                     scores[k, j] = score(k, j)
 
 
-def fit(df: DataFrame, id_col: str = "entry_id", concepts: int = CONCEPTS) -> Lexicon:
-    """Term cosines over the concepts, term weights over all entries. Equal entries make one concept.
+def fit(df: DataFrame, id_col: str = "entry_id") -> Lexicon:
+    """Term cosines and term weights over all entries. Equal entries make one concept.
 
-    The driver gets at most PARTNERS partners of each term of the concepts."""
-    base = df.select(F.col(id_col).alias("entry"), "source", "zh").where("entry is not null and size(source) > 0 and size(zh) > 0")
-    content = base.withColumn("h", F.xxhash64("source", "zh"))
-    chosen = content.groupBy("h").agg(F.min(F.struct("entry", "source", "zh")).alias("x")).orderBy(F.xxhash64("h", F.lit(7)), "h").limit(concepts).select("x.*")
-    terms = cut(map_rows(chosen, _terms, "entry long, side string, term string").repartition(8, "entry"))
+    The driver gets at most PARTNERS partners of each term."""
+    base = df.where(F.col(id_col).isNotNull()).select("source", "zh").where("size(source) > 0 and size(zh) > 0")
+    concepts = base.distinct().select(F.xxhash64("source", "zh").alias("entry"), "source", "zh")
+    terms = cut(map_rows(concepts, _terms, "entry long, side string, term string"))
     k = terms.select("entry").distinct().count()
-    counts = terms.groupBy("side", "term").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_CONCEPTS) & (F.col("n") <= max(MIN_CONCEPTS, MAX_SHARE * k)))
-    kept = cut(terms.join(counts, ["side", "term"]))
-    s = kept.where("side = 's'").select("entry", F.col("term").alias("s"), F.col("n").alias("ns"))
-    z = kept.where("side = 'z'").select("entry", F.col("term").alias("z"), F.col("n").alias("nz"))
-    met = s.join(z, "entry").groupBy("s", "z").agg(F.count("*").alias("n"), F.first("ns").alias("ns"), F.first("nz").alias("nz")).where("n >= 2")
-    cosine = (F.col("n") * k - F.col("ns") * F.col("nz")) / F.sqrt(F.col("ns") * (k - F.col("ns")) * F.col("nz") * (k - F.col("nz")).cast("double"))
+    counts = cut(terms.groupBy("side", "term").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_CONCEPTS) & (F.col("n") <= max(MIN_CONCEPTS, MAX_SHARE * k))))
+    kept = terms.join(counts, ["side", "term"])
+    s = kept.where("side = 's'").select("entry", F.xxhash64("term").alias("a"))
+    z = kept.where("side = 'z'").select("entry", F.xxhash64("term").alias("b"))
+    pairs = s.join(z, "entry").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2")  # numbers as keys: this is the largest join
+    side = lambda x, key: counts.where(f"side = '{x}'").select(F.xxhash64("term").alias(key), F.col("term").alias(x), F.col("n").alias(f"n{x}"))
+    met = pairs.join(side("s", "a"), "a").join(side("z", "b"), "b").drop("a", "b")
+    cosine = (F.col("n") * k - F.col("ns") * F.col("nz")) / F.sqrt(F.col("ns") * (k - F.col("ns")).cast("double") * F.col("nz") * (k - F.col("nz")))
     near = met.withColumn("c", cosine).where(F.col("c") >= LEAST)
     ranked = near.withColumn("a", F.row_number().over(W.partitionBy("s").orderBy(F.desc("c"), "z"))).withColumn("b", F.row_number().over(W.partitionBy("z").orderBy(F.desc("c"), "s")))
     cosines: dict[str, dict[str, float]] = {}

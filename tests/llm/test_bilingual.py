@@ -52,3 +52,14 @@ def test_terms():
 
 def test_empty(spark):
     assert B.aligned(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_rare_terms_have_vectors_in_a_large_table(spark):
+    """Names that stand in few of many entries, with nothing else to explain the pair."""
+    rng = random.Random(5)
+    rows = [(i, [pair(rng)[0]], [pair(rng)[1]], "x", 1) for i in range(6000)]
+    names = [(f"quor{a}{b}", chr(0x7300 + 4 * k) + chr(0x7301 + 4 * k)) for k, (a, b) in enumerate((a, b) for a in "abcde" for b in "mnopq")]
+    rare = [(7000 + 4 * k + j, [n, "x" * (j + 2)], [z, "犇" * (j + 1)], "x", 1) for k, (n, z) in enumerate(names) for j in range(4)]
+    df = spark.createDataFrame(rows + rare, DDL)
+    got = {(r["id"], r["source_no"], r["zh_no"]) for r in B.aligned(df).where("id >= 7000").collect()}
+    assert {(r[0], 0, 0) for r in rare} <= got
