@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,6 @@ from inkwell.session import cut
 RIGHT = ("utf-8", "gb18030", "big5", "cp1252")
 WRONG_BYTES = ("cp1252", "mac-roman", "cp1251", "koi8-r", "cp437", "cp850", "cp866", "latin-1", "cp1250", "iso8859-15")
 WRONG_WIDE = ("gb18030", "big5", "cp949", "cp932", "euc-jp")
-#: Clean texts per skeleton that are aligned with a garbled one.
-TWINS = 8
 #: Least gain in log likelihood, with votes of twins and without.
 GAIN_KNOWN, GAIN_NEW = 6.0, 14.0
 #: Least gain of a stretch of two characters of a two-byte encoding.
@@ -446,22 +445,42 @@ class _Skeletons:
 _ASCII = re.compile("[\x00-\x7f]+")
 
 
-def _votes(cols: dict[str, list]) -> Iterator[tuple]:
-    """Align the stretches between ASCII characters of a garbled text and its twin."""
-    for bad, twins in zip(cols["text"], cols["clean"]):
-        for good in twins:
-            found = set()
-            x, y = _ASCII.split(bad), _ASCII.split(good)
-            if len(x) != len(y):
+def _stretches(cols: dict[str, list]) -> Iterator[tuple]:
+    """What stands between the ASCII characters of a text, with how many there are and at which place."""
+    for key, text in zip(cols["key"], cols["text"]):
+        parts = _ASCII.split(text)
+        for at, x in enumerate(parts):
+            if x:
+                yield key, len(parts), at, x
+
+
+def _misread_forms(cols: dict[str, list]) -> Iterator[tuple]:
+    """A clean stretch as every transformation would leave it, hashed with its place, where a garbled stretch of that length stands."""
+    for key, size, at, x, lengths in zip(*(cols[c] for c in ("key", "size", "at", "x", "lengths"))):
+        most = {}
+        for right in RIGHT:
+            try:
+                most[right] = len(x.encode(right))
+            except UnicodeEncodeError:
+                most[right] = 0
+        for k, (right, wrong) in enumerate(TRANSFORMS):
+            n = most[right]  # bytes; a character takes one, or up to four of an encoding of several
+            if not n or not (n in lengths if wrong in WRONG_BYTES else any(m <= n <= 4 * m for m in lengths)):
                 continue
-            for g, c in zip(x, y):
-                if not g or not c or g == c:
-                    continue
-                for t in TRANSFORMS:
-                    if t not in found and misread(c, *t) == g:
-                        found.add(t)
-            for t in found:
-                yield (*t, 1)
+            if (g := (_short if len(x) <= 2 else misread)(x, right, wrong)) is not None and g != x and len(g) in lengths:
+                yield _place(key, size, at, g), k
+
+
+_short = lru_cache(maxsize=50_000)(misread)
+
+
+def _place(*parts: object) -> int:
+    return int.from_bytes(blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _places(cols: dict[str, list]) -> Iterator[tuple]:
+    for parts in zip(*(cols[c] for c in ("key", "size", "at", "x"))):
+        yield (_place(*parts),)
 
 
 class _Weighed:
@@ -499,8 +518,9 @@ def counted(df: DataFrame, list_col: str) -> Model:
 def learn(df: DataFrame, list_col: str = "paragraphs") -> Model:
     """The model of the paragraphs in list_col.
 
-    Of the clean texts with one skeleton TWINS, chosen by hash, are aligned with
-    each garbled one; votes are evidence for a transformation and need no more.
+    A garbled text is aligned with all clean texts of its skeleton: a stretch of
+    it meets the misread forms of the stretches that clean ones have at its place.
+    Votes, counted by stretch, are evidence for a transformation and need no more.
     What reaches the driver: counts by code point, and votes by transformation."""
     model = counted(df, list_col)
     ddl = "skeleton string, text string, odd boolean"
@@ -509,11 +529,12 @@ def learn(df: DataFrame, list_col: str = "paragraphs") -> Model:
     garbled = cut(each.where("odd").select("key", "text").distinct())
     keys = cut(garbled.select("key").distinct())
     clean = each.where("not odd").join(keys, "key", "left_semi")
-    least = clean.withColumn("slot", F.pmod(F.xxhash64("text"), F.lit(TWINS))).groupBy("key", "slot").agg(F.min("text").alias("text"))
-    twins = least.groupBy("key").agg(F.collect_list("text").alias("clean"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    votes = map_rows(garbled.join(twins, "key").select("text", "clean").repartition(parts), _votes, "right string, wrong string, n int").groupBy("right", "wrong").agg(F.sum("n").alias("n"))
-    return Model(model.logp, {(r["right"], r["wrong"]): r["n"] for r in votes.collect()}, model.usual)
+    ddl = "key long, size int, at int, x string"
+    spread = cut(map_rows(garbled, _stretches, ddl))
+    lengths = spread.groupBy("key", "size", "at").agg(F.collect_set(F.length("x")).alias("lengths"))
+    forms = map_rows(map_rows(clean, _stretches, ddl).distinct().join(lengths, ["key", "size", "at"]), _misread_forms, "place long, t int")
+    votes = map_rows(spread, _places, "place long").join(forms, "place").groupBy("t").agg(F.count("*").alias("n"))
+    return Model(model.logp, {TRANSFORMS[r["t"]]: r["n"] for r in votes.collect()}, model.usual)
 
 
 class _Find:

@@ -95,3 +95,15 @@ def test_repeated_lines_are_looked_at(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(docs)], "chapter_id long, paragraphs array<string>")
     got = {r["id"]: r["restored"] for r in E.garbled_paragraphs(df).collect()}
     assert got == {i: line if i % 3 == 0 else f"{i - 1}：{line}" for i in range(len(docs)) if i % 3 < 2}
+
+
+def test_twins_of_a_frequent_skeleton(spark):
+    """300 clean texts share the skeleton of the garbled one; its twin is one of them."""
+    rng = random.Random(4)
+    pool = [c for c in "".join(CHINESE) if "一" <= c <= "鿿"]
+    docs = [["2014-10-18" + "".join(rng.sample(pool, 8))] for _ in range(300)]
+    for right, wrong in (("utf-8", "cp1252"), ("gb18030", "cp1251"), ("gb18030", "cp949")):
+        twins = [E.misread(d[0], right, wrong) for d in docs]
+        k = next(k for k, x in enumerate(twins) if x is not None)
+        df = spark.createDataFrame([(i, p) for i, p in enumerate([*docs, [twins[k]]])], "chapter_id long, paragraphs array<string>")
+        assert E.learn(df).votes.get((right, wrong), 0) > 0, (right, wrong)
