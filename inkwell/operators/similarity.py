@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from inkwell.functions.arrow import arrow_schema, as_batch, map_rows
-from inkwell.operators.grouped_split import components
+from inkwell.operators.components import components
 from inkwell.session import cut
 
 WORDS, SIMILAR = 5, 0.8
