@@ -4,12 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import bilingual, encoding, lookalike, mixing, packing, reading_level, residue, site_lines
+from inkwell.llm import bilingual, encoding, grouped_split, lookalike, mixing, packing, reading_level, residue, shared_spans, site_lines
 from inkwell.plans.registry import Registry, table
 
 R = Registry()
 
 
+@R.query("p1_found")
+def p1_found(spark, d):
+    """Every two rows of chapters that share a run of at least 200 code points."""
+    return shared_spans.shared_pairs(table(spark, d, "chapters")).select(F.col("a").alias("chapter_a"), F.col("b").alias("chapter_b"))
+
+
+@R.query("p1_spans")
+def p1_spans(spark, d):
+    """Per chapter the maximal stretches that other chapters hold, as [start, stop) in its text."""
+    return shared_spans.shared_intervals(table(spark, d, "chapters")).select(F.col("id").alias("chapter_id"), "start", "stop")
+
+
+@R.query("p1_shares")
+def p1_shares(spark, d):
+    """Per chapter its length, the code points shared elsewhere and their share."""
+    return shared_spans.shared_shares(table(spark, d, "chapters"))
+
+
+@R.query("p1_deduped")
+def p1_deduped(spark, d):
+    """The chapters' texts without the sentences that a non-first repeated span covers."""
+    return shared_spans.drop_repeats(table(spark, d, "chapters"))
+
+
+@R.query("p7_found")
+def p7_found(spark, d):
+    """Every two stored author values of records that must be in one split."""
+    return grouped_split.tied_authors(table(spark, d, "records"))
+
+
+@R.query("p7_groups")
+def p7_groups(spark, d):
+    """One row per stored author value: the group of records that must be in one split."""
+    return grouped_split.author_groups(table(spark, d, "records"))
+
+
+@R.query("p7_splits")
+def p7_splits(spark, d):
+    """One split per row of records."""
+    return grouped_split.split_records(table(spark, d, "records")).select("chunk_id", "author", "title", "group", "split")
+
+
+@R.query("p7_shares")
+def p7_shares(spark, d):
+    """The shares of records reached by each split."""
+    return grouped_split.shares_reached(grouped_split.split_records(table(spark, d, "records")))
+
+
 @R.query("p6_found")
 def p6_found(spark, d):
     """Every paragraph whose line is repeated excessively within its site."""
