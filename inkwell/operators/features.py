@@ -1,19 +1,18 @@
 """Stylometric features of texts: named families that give feature counts, and metrics in columns.
 
-A family is a function text -> Counter, registered by name; `feature_counts`
-applies one to a column in Arrow batches. Families that only count characters
-or lines have a JVM form beside it (`char_counts`, `flow_metrics`)."""
+A family is a table of measures over views of a text. A view is an array or a
+number made once per text by Column expressions (its lines, the Han lengths of
+its sentences, its function words); a measure says what features a view gives.
+`feature_counts` runs a family in the JVM; nothing is counted in Python."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inkwell.functions import text as X
-from inkwell.functions.arrow import map_rows
 
 # Marks counted, marks of speech, ends of sentences.
 MARKS = "，。！？；：、“”‘’（）《》【】…—,.!?;:\"'()[]"
@@ -28,200 +27,288 @@ FUNCTION_WORDS = {
     "preposition_frame": "关于 对于 由于 为了 按照 根据 通过 经过 除了 作为 并非 并不 无法 无论 不管 只要 只有 除非 无非 至于",
 }
 WORD_GROUP = {w: g for g, ws in FUNCTION_WORDS.items() for w in ws.split()}
-_WORD = re.compile("|".join(sorted(WORD_GROUP, key=lambda w: (-len(w), w))))
-_HAN = re.compile("[一-鿿]")
-_FUNCTION = set(X.FUNCTION_CHARS)
+WORD_PATTERN = "|".join(sorted(WORD_GROUP, key=lambda w: (-len(w), w)))
+# White space, and what ends a line.
+WHITE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+LINE_END = "\\r\\n|[\\n-\\r\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+OPENING = "“\"「『"
+# Characters that tell who speaks, near the start of a paragraph.
+SAYING = "说道问答喊叫笑"
 
 
-def _bucket(value: float, edges: tuple[int, ...]) -> str:
-    return next((f"le_{e}" for e in edges if value <= e), f"gt_{edges[-1]}")
+# ---- views -------------------------------------------------------------------------
 
 
-def char_ngrams(text: str) -> Counter:
-    """2- to 4-grams of the text without white space."""
-    s = "".join(text.split())
-    return Counter(f"char{k}:{s[i : i + k]}" for k in (2, 3, 4) for i in range(len(s) - k + 1))
+def _class(chars: str) -> str:
+    return "[" + "".join("\\" + c if c in "[]\\^-&" else c for c in chars) + "]"
 
 
-def punctuation_dialogue(text: str) -> Counter:
-    """Marks, and bucketed shares and counts of speech, colons and ellipses."""
-    out = Counter(f"punc:{c}" for c in text if c in MARKS)
-    out.update(f"dialogue_mark:{c}" for c in text if c in SPEECH)
-    lines = [x for x in map(str.strip, text.splitlines()) if x]
-    spoken = sum(x[0] in "“\"「『" for x in lines)
-    out["dialogue_line_ratio:" + _bucket(100 * spoken / max(len(lines), 1), (5, 15, 30, 50, 75))] += 1
-    out["quote_count:" + _bucket(sum(c in SPEECH for c in text), (2, 6, 12, 24, 48))] += 1
-    out["colon_count:" + _bucket(text.count("：") + text.count(":"), (1, 3, 6, 12, 24))] += 1
-    out["ellipsis_count:" + _bucket(text.count("…"), (1, 2, 4, 8, 16))] += 1
-    return out
-
+def _all(c: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
-def length_shape(text: str) -> Counter:
-    """Buckets of the numbers and Han lengths of sentences and paragraphs."""
-    han = lambda s: len(_HAN.findall(s))
-    paragraphs = [han(x) for x in map(str.strip, text.splitlines()) if x]
-    sentences = [n for n in map(han, re.split(ENDS, text)) if n]
-    out: Counter = Counter()
-    out["paragraph_count:" + _bucket(len(paragraphs), (1, 2, 4, 8, 16, 32))] += 1
-    out["sentence_count:" + _bucket(len(sentences), (3, 6, 10, 16, 24, 40))] += 1
-    for name, sizes, mean, each in (("sentence", sentences, (12, 20, 32, 48, 72, 110), (8, 16, 28, 45, 70, 110, 180)), ("paragraph", paragraphs, (40, 80, 140, 220, 360, 600), (30, 70, 120, 200, 340, 560, 900))):
-        if sizes:
-            out[f"avg_{name}_cjk:" + _bucket(sum(sizes) / len(sizes), mean)] += 1
-            out.update(f"{name}_cjk:" + _bucket(n, each) for n in sizes)
-    return out
 
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 
-def function_chars(text: str) -> Counter:
-    out = Counter(f"function_char:{c}" for c in text if c in _FUNCTION)
-    out["function_ratio:" + _bucket(100 * sum(out.values()) / max(len(_HAN.findall(text)), 1), (20, 30, 40, 50, 60, 70))] += 1
-    return out
 
+def _long(c: Column) -> Column:
+    return F.size(c).cast("long")
 
-def function_words(text: str) -> Counter:
-    """Function words, leftmost and longest, by word and group, and bucketed rate and diversity."""
-    words = _WORD.findall(text)
-    out = Counter(f"function_word:{w}" for w in words)
-    out.update(f"function_word_group:{WORD_GROUP[w]}" for w in words)
-    out["function_word_ratio:" + _bucket(1000 * len(words) / max(len(_HAN.findall(text)), 1), (2, 5, 10, 20, 35, 55, 80, 120))] += 1
-    out["function_word_diversity:" + _bucket(len(set(words)), (2, 4, 8, 12, 18, 26, 36, 50))] += 1
-    return out
 
+def _han(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, X.NOT_HAN, ""))
 
-def _union(*families: Callable[[str], Counter]) -> Callable[[str], Counter]:
-    def all_of(text: str) -> Counter:
-        out: Counter = Counter()
-        for f in families:
-            out.update(f(text))
-        return out
 
-    return all_of
+def _total(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
 
-def mask_stripped_ngrams(text: str) -> Counter:
-    """2- to 4-grams that never cross a masked run."""
-    out: Counter = Counter()
-    for part in re.split("某+", "".join(text.split())):
-        out.update(part[i : i + k] for k in (2, 3, 4) for i in range(len(part) - k + 1))
-    return out
+def _mean(c: Column) -> Column:
+    return F.when(F.size(c) > 0, _total(c) / F.size(c)).otherwise(0.0)
 
 
-def mask_topology(text: str) -> Counter:
-    """Where masked runs stand among Han characters: shares, and buckets of run and gap lengths per mille."""
-    han = "".join(_HAN.findall(text))
-    n = len(han)
-    if not n:
-        return Counter({"cjk_count": 0.0, "mask_fraction": 0.0, "run_count_per_1k": 0.0})
-    runs = [len(r) for r in re.findall("某+", han)]
-    gaps = [len(g) for g in re.split("某+", han) if g]
-    out = Counter({"cjk_count": float(n), "mask_fraction": sum(runs) / n, "run_count_per_1k": 1000 * len(runs) / n})
-    for name, sizes in (("run", runs), ("gap", gaps)):
-        if sizes:
-            out[f"{name}_length_mean"] = sum(sizes) / len(sizes)
-            out[f"{name}_length_max"] = float(max(sizes))
-    return out
+def _deviation(c: Column) -> Column:
+    m = _mean(c)
+    return F.when(F.size(c) > 0, F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(c))).otherwise(0.0)
 
 
-def _quantile(values: list[int], q: float) -> float:
-    v = sorted(values)
-    if not v:
-        return 0.0
-    at = q * (len(v) - 1)
-    k = int(at)
-    return float(v[k] + (v[min(k + 1, len(v) - 1)] - v[k]) * (at - k))
-
-
-def sentence_rhythm(text: str) -> Counter:
-    """Lengths of sentences and clauses: means, deviations, quantiles, shares of short and long, and how shapes follow each other."""
-    han = lambda s: len(_HAN.findall(s))
-    sentences = [s for s in re.findall("[^。！？!?]+[。！？!?]*", text) if han(s)]
-    out: Counter = Counter()
-    lengths = [han(s) for s in sentences]
-    clauses = [n for s in sentences for n in map(han, re.split("[，,；;：:]", s)) if n]
-    for name, v, short, long in (("sentence", lengths, 12, 40), ("clause", clauses, 6, 24)):
-        mean = sum(v) / len(v) if v else 0.0
-        out[f"mean_{name}"] = mean
-        out[f"sd_{name}"] = (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5 if v else 0.0
-        for q in (10, 25, 50, 75, 90):
-            out[f"p{q}_{name}"] = _quantile(v, q / 100)
-        out[f"short_{name}"] = sum(x <= short for x in v) / max(1, len(v))
-        out[f"long_{name}"] = sum(x >= long for x in v) / max(1, len(v))
-    shapes = []
-    for s, n in zip(sentences, lengths):
-        commas = s.count("，") + s.count(",")
-        end = s.rstrip()[-1:]
-        shapes.append(f"{'S' if n <= 12 else 'M' if n <= 32 else 'L'}.{min(commas, 3)}.{'Q' if end in '？?' else 'E' if end in '！!' else 'D'}")
-    for x, n in Counter(shapes).items():
-        out[f"shape:{x}"] = n / len(shapes)
-    for (a, b), n in Counter(zip(shapes, shapes[1:])).items():
-        out[f"shapes:{a}>{b}"] = n / (len(shapes) - 1)
-    return out
+def _share_of(c: Column, holds: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter(c, holds)) / F.greatest(F.size(c), F.lit(1))
 
 
-def function_grammar(text: str) -> Counter:
-    """Function words in order: rates per thousand Han by word and group, and shares of what follows what, sentence ends included."""
-    tokens = re.findall(_WORD.pattern + "|[。！？!?]", text)
-    n = max(1, len(_HAN.findall(text)))
-    out: Counter = Counter()
-    for t in tokens:
-        if t in WORD_GROUP:
-            out[f"rate:{t}"] += 1000 / n
-            out[f"group:{WORD_GROUP[t]}"] += 1000 / n
-    follows = Counter((a if a in WORD_GROUP else "|", b if b in WORD_GROUP else "|") for a, b in zip(tokens, tokens[1:]))
-    for (a, b), k in follows.items():
-        out[f"next:{a}>{b}"] = k / max(1, len(tokens) - 1)
-    out["diversity"] = len({t for t in tokens if t in WORD_GROUP}) / max(1, sum(t in WORD_GROUP for t in tokens))
-    return out
+def _quantile(c: Column, q: float) -> Column:
+    """Linear between the two nearest of a sorted array; 0 of an empty one."""
+    at = (F.size(c) - 1) * F.lit(q)
+    k = F.floor(at).cast("int")
+    low, high = F.get(c, k), F.get(c, F.least(k + 1, F.size(c) - 1))
+    return F.when(F.size(c) > 0, low + (high - low) * (at - k)).otherwise(0.0)
 
 
-def paragraph_discourse(text: str) -> Counter:
-    """Kinds of paragraphs: shares, sequences of up to three, and runs of speech."""
-    kinds = []
-    for p in filter(None, map(str.strip, text.splitlines())):
-        kinds.append("dialogue" if p[0] in "“\"「『" else "question" if p[-1] in "？?" else "attribution" if re.search("[说道问答喊叫笑]", p[:18]) else "narration")
-    out: Counter = Counter()
-    for n in (1, 2, 3):
-        grams = Counter(">".join(kinds[i : i + n]) for i in range(len(kinds) - n + 1))
-        for g, k in grams.items():
-            out[f"kinds{n}:{g}"] = k / (len(kinds) - n + 1)
-    runs = [len(r) for r in re.findall("d+", "".join(k[0] for k in kinds))]
-    out["dialogue_run_mean"], out["dialogue_run_max"] = sum(runs) / max(1, len(runs)), float(max(runs, default=0))
-    out["alternation"] = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(kinds) - 1)
+def _runs(c: Column, n: int) -> Column:
+    """Every n consecutive elements of an array, joined by >."""
+    size = F.greatest(F.size(c) - n + 1, F.lit(0))
+    out = F.slice(c, 1, size)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(c, k + 1, size), lambda a, b: F.concat(a, F.lit(">"), b))
     return out
 
 
-FAMILIES: dict[str, Callable[[str], Counter]] = {
-    "char_ngrams": char_ngrams,
-    "punctuation_dialogue": punctuation_dialogue,
-    "length_shape": length_shape,
-    "function_chars": function_chars,
-    "function_words": function_words,
-    "function_words_plus_chars": _union(function_chars, function_words),
-    "combined_interpretable": _union(punctuation_dialogue, length_shape, function_chars),
-    "combined_rich_function_words": _union(punctuation_dialogue, length_shape, function_chars, function_words),
-    "mask_stripped_ngrams": mask_stripped_ngrams,
-    "mask_topology": mask_topology,
-    "sentence_rhythm": sentence_rhythm,
-    "function_grammar": function_grammar,
-    "paragraph_discourse": paragraph_discourse,
+def _grams(c: Column, sizes: tuple[int, ...], name: str) -> Column:
+    """Runs of characters of a text, each under its size where name asks for it."""
+    each = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(name.format(n)), F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[each(n) for n in sizes])
+
+
+def _kind(p: Column) -> Column:
+    said = F.substring(p, 1, 18).rlike(_class(SAYING))
+    return F.when(p.rlike("^" + _class(OPENING)), "dialogue").when(p.rlike("[？?]$"), "question").when(said, "attribution_open").otherwise("narration")
+
+
+def _shape(s: Column) -> Column:
+    n, commas, end = _han(s), F.length(s) - F.length(F.translate(s, "，,", "")), F.substring(_bare(s), -1, 1)
+    size = F.when(n <= 12, "S").when(n <= 32, "M").otherwise("L")
+    return F.concat(size, F.lit("."), F.least(commas, F.lit(3)).cast("string"), F.lit("."), F.when(end.isin("？", "?"), "Q").when(end.isin("！", "!"), "E").otherwise("D"))
+
+
+_t = F.col
+#: View -> what makes it, in order: a view may use those before it.
+VIEWS: dict[str, Callable[[], Column]] = {
+    "han": lambda: _han(_t("t")),
+    "lines": lambda: F.filter(F.transform(F.split("t", LINE_END), _bare), lambda x: x != ""),
+    "line_han": lambda: F.transform("lines", _han),
+    "piece_han": lambda: F.filter(F.transform(F.split("t", ENDS), _han), lambda n: n > 0),
+    "marks": lambda: _all(_t("t"), _class(MARKS)),
+    "speech": lambda: _all(_t("t"), _class(SPEECH)),
+    "colons": lambda: _all(_t("t"), "[：:]"),
+    "dots": lambda: _all(_t("t"), "…"),
+    "spoken": lambda: F.filter("lines", lambda x: x.rlike("^" + _class(OPENING))),
+    "characters": lambda: _all(_t("t"), f"[{X.FUNCTION_CHARS}]"),
+    "words": lambda: _all(_t("t"), WORD_PATTERN),
+    "groups": lambda: F.transform("words", lambda w: F.element_at(F.create_map(*[F.lit(x) for kv in WORD_GROUP.items() for x in kv]), w)),
+    "steps": lambda: F.transform(_all(_t("t"), WORD_PATTERN + "|[。！？!?]"), lambda w: F.when(w.rlike("^[。！？!?]$"), "|").otherwise(w)),
+    "close": lambda: F.regexp_replace("t", WHITE + "+", ""),
+    "parts": lambda: F.filter(F.split("close", "某+"), lambda x: x != ""),
+    "only_han": lambda: F.regexp_replace("t", X.NOT_HAN, ""),
+    "mask_runs": lambda: F.transform(_all(_t("only_han"), "某+"), F.length),
+    "mask_gaps": lambda: F.transform(F.filter(F.split("only_han", "某+"), lambda x: x != ""), F.length),
+    "sentences": lambda: F.filter(_all(_t("t"), "[^。！？!?]+[。！？!?]*"), lambda s: s.rlike(X.HAN)),
+    "sentence_han": lambda: F.array_sort(F.transform("sentences", _han)),
+    "clause_han": lambda: F.array_sort(F.filter(F.transform(F.flatten(F.transform("sentences", lambda s: F.split(s, "[，,；;：:]"))), _han), lambda n: n > 0)),
+    "shapes": lambda: F.transform("sentences", _shape),
+    "kinds": lambda: F.transform("lines", _kind),
+    "sized_kinds": lambda: F.zip_with("kinds", "line_han", lambda k, n: F.concat(k, F.lit("."), F.when(n <= 15, "S").when(n <= 60, "M").otherwise("L"))),
+    "sorted_lines": lambda: F.array_sort("line_han"),
+    "line_sentences": lambda: F.array_sort(F.transform("lines", lambda p: F.size(F.filter(F.split(p, "[。！？!?]"), lambda s: s.rlike(X.HAN))))),
+    "speech_runs": lambda: F.transform(_all(F.array_join(F.transform("kinds", lambda k: F.substring(k, 1, 1)), ""), "d+"), F.length),
 }
 
 
-class _Features:
-    def __init__(self, family: str) -> None:
-        self.family = family
+# ---- measures: what features a view gives ----------------------------------------------
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """A feature per distinct token: how often it stands, times scale over per."""
+
+    prefix: str
+    of: Callable[[], Column]
+    scale: float = 1.0
+    per: Callable[[], Column] = lambda: F.lit(1)
+
+    def entries(self) -> Column:
+        return F.transform(self.of(), lambda x: _entry(F.concat(F.lit(self.prefix), x), F.lit(self.scale), self.per()))
+
+
+@dataclass(frozen=True)
+class Bucket:
+    """A feature named after the interval that a number falls into."""
+
+    name: str
+    of: Callable[[], Column]
+    edges: tuple[int, ...]
+
+    def label(self, x: Column) -> Column:
+        c = None
+        for e in self.edges:
+            c = (F if c is None else c).when(x <= e, f"{self.name}:le_{e}")
+        return c.otherwise(f"{self.name}:gt_{self.edges[-1]}")
+
+    def entries(self) -> Column:
+        x = self.of()
+        return F.when(x.isNotNull(), F.array(_entry(self.label(x), F.lit(1.0), F.lit(1)))).otherwise(_none())
+
+
+class Buckets(Bucket):
+    """The same for every number of an array."""
+
+    def entries(self) -> Column:
+        return F.transform(self.of(), lambda x: _entry(self.label(x), F.lit(1.0), F.lit(1)))
+
+
+@dataclass(frozen=True)
+class Number:
+    """A number as it is; null gives no feature."""
 
-    def __call__(self, cols: dict[str, list]) -> Iterator[tuple]:
-        fn = FAMILIES[self.family]
-        for i, text in zip(cols["id"], cols["text"]):
-            if text is not None:
-                for k, v in fn(text).items():
-                    yield i, k, float(v)
+    name: str
+    of: Callable[[], Column]
+
+    def entries(self) -> Column:
+        x = self.of().cast("double")
+        return F.when(x.isNotNull(), F.array(_entry(F.lit(self.name), x, F.lit(1)))).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<feature:string,n:double,per:double>>")
+
+
+def _entry(feature: Column, n: Column, per: Column) -> Column:
+    return F.struct(feature.alias("feature"), n.cast("double").alias("n"), per.cast("double").alias("per"))
+
+
+def _view(name: str) -> Callable[[], Column]:
+    return lambda: F.col(name)
+
+
+def _count(name: str) -> Callable[[], Column]:
+    return lambda: F.size(name)
+
+
+def _rate(name: str, scale: int, per: Callable[[], Column]) -> Callable[[], Column]:
+    return lambda: F.size(name) * float(scale) / F.greatest(per(), F.lit(1))
+
+
+def _mean_or_none(name: str) -> Callable[[], Column]:
+    return lambda: F.when(F.size(name) > 0, _mean(F.col(name)))
+
+
+def _spread(view: str, name: str, short: int, long: int) -> list:
+    """Mean, deviation, quantiles, and shares of short and long ones, of a sorted view of lengths."""
+    c = lambda: F.col(view)
+    return [
+        Number(f"mean_{name}", lambda: _mean(c())), Number(f"sd_{name}", lambda: _deviation(c())),
+        *[Number(f"p{q}_{name}", lambda q=q: _quantile(c(), q / 100)) for q in (10, 25, 50, 75, 90)],
+        Number(f"short_{name}", lambda: _share_of(c(), lambda n: n <= short)), Number(f"long_{name}", lambda: _share_of(c(), lambda n: n >= long)),
+    ]
+
+
+def _sequence(prefix: str, view: str, n: int) -> Tokens:
+    """Shares of the runs of n consecutive elements."""
+    return Tokens(prefix, lambda: _runs(F.col(view), n), 1.0, lambda: F.greatest(F.size(view) - n + 1, F.lit(1)))
+
+
+def _pair_share(view: str, holds: Callable[[Column, Column], Column]) -> Callable[[], Column]:
+    """Share of the neighbouring elements that holds is true of."""
+
+    def of() -> Column:
+        n = F.greatest(F.size(view) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(view, 1, n), F.slice(view, 2, n), holds)
+        return F.size(F.filter(pairs, lambda x: x)) / F.greatest(n, F.lit(1))
+
+    return of
+
+
+MARKS_AND_SPEECH = (
+    Tokens("punc:", _view("marks")), Tokens("dialogue_mark:", _view("speech")),
+    Bucket("dialogue_line_ratio", _rate("spoken", 100, _count("lines")), (5, 15, 30, 50, 75)), Bucket("quote_count", _count("speech"), (2, 6, 12, 24, 48)),
+    Bucket("colon_count", _count("colons"), (1, 3, 6, 12, 24)), Bucket("ellipsis_count", _count("dots"), (1, 2, 4, 8, 16)),
+)
+LENGTHS = (
+    Bucket("paragraph_count", _count("lines"), (1, 2, 4, 8, 16, 32)), Bucket("sentence_count", _count("piece_han"), (3, 6, 10, 16, 24, 40)),
+    Bucket("avg_sentence_cjk", _mean_or_none("piece_han"), (12, 20, 32, 48, 72, 110)), Buckets("sentence_cjk", _view("piece_han"), (8, 16, 28, 45, 70, 110, 180)),
+    Bucket("avg_paragraph_cjk", _mean_or_none("line_han"), (40, 80, 140, 220, 360, 600)), Buckets("paragraph_cjk", _view("line_han"), (30, 70, 120, 200, 340, 560, 900)),
+)
+CHARACTERS = (Tokens("function_char:", _view("characters")), Bucket("function_ratio", _rate("characters", 100, _view("han")), (20, 30, 40, 50, 60, 70)))
+WORDS = (
+    Tokens("function_word:", _view("words")), Tokens("function_word_group:", _view("groups")),
+    Bucket("function_word_ratio", _rate("words", 1000, _view("han")), (2, 5, 10, 20, 35, 55, 80, 120)),
+    Bucket("function_word_diversity", lambda: F.size(F.array_distinct("words")), (2, 4, 8, 12, 18, 26, 36, 50)),
+)
+TOPOLOGY = (
+    Number("cjk_count", _view("han")), Number("mask_fraction", lambda: _total(F.col("mask_runs")) / F.greatest("han", F.lit(1))), Number("run_count_per_1k", _rate("mask_runs", 1000, _view("han"))),
+    *[m for name in ("run", "gap") for m in (Number(f"{name}_length_mean", _mean_or_none(f"mask_{name}s")), Number(f"{name}_length_max", lambda name=name: F.array_max(f"mask_{name}s")))],
+)
+RHYTHM = (*_spread("sentence_han", "sentence", 12, 40), *_spread("clause_han", "clause", 6, 24), _sequence("shape:", "shapes", 1), _sequence("shapes:", "shapes", 2))
+GRAMMAR = (
+    Tokens("rate:", _view("words"), 1000.0, lambda: F.greatest("han", F.lit(1))), Tokens("group:", _view("groups"), 1000.0, lambda: F.greatest("han", F.lit(1))),
+    _sequence("next:", "steps", 2), Number("diversity", lambda: F.size(F.array_distinct("words")) / F.greatest(F.size("words"), F.lit(1))),
+)
+DISCOURSE = (
+    *[Number(f"{k}_paragraph", v) for k, v in (("mean", lambda: _mean(F.col("sorted_lines"))), ("sd", lambda: _deviation(F.col("sorted_lines"))))],
+    *[Number(f"p{q}_paragraph", lambda q=q: _quantile(F.col("sorted_lines"), q / 100)) for q in (25, 50, 75, 90)],
+    Number("short_paragraph", lambda: _share_of(F.col("line_han"), lambda n: n <= 15)), Number("long_paragraph", lambda: _share_of(F.col("line_han"), lambda n: n >= 80)),
+    Number("variation_paragraph", lambda: _deviation(F.col("sorted_lines")) / F.greatest(_mean(F.col("sorted_lines")), F.lit(1.0))),
+    Number("mean_sentences", lambda: _mean(F.col("line_sentences"))), Number("p90_sentences", lambda: _quantile(F.col("line_sentences"), 0.9)), Number("single_sentence", lambda: _share_of(F.col("line_sentences"), lambda n: n == 1)),
+    _sequence("kind:", "kinds", 1), _sequence("kinds:", "kinds", 2), *[_sequence(f"sequence{n}:", "sized_kinds", n) for n in (1, 2, 3)],
+    Number("question_response", _pair_share("kinds", lambda a, b: (a == "question") & b.isin("dialogue", "attribution_open"))),
+    Number("alternation", _pair_share("kinds", lambda a, b: F.array_sort(F.array(a, b)) == F.array(F.lit("dialogue"), F.lit("narration")))),
+    Number("dialogue_run_mean", lambda: _mean(F.col("speech_runs"))), Number("dialogue_run_max", lambda: F.coalesce(F.array_max("speech_runs"), F.lit(0))),
+)
+
+FAMILIES: dict[str, tuple] = {
+    "char_ngrams": (Tokens("", lambda: _grams(F.col("close"), (2, 3, 4), "char{}:")),),
+    "punctuation_dialogue": MARKS_AND_SPEECH,
+    "length_shape": LENGTHS,
+    "function_chars": CHARACTERS,
+    "function_words": WORDS,
+    "function_words_plus_chars": (*CHARACTERS, *WORDS),
+    "combined_interpretable": (*MARKS_AND_SPEECH, *LENGTHS, *CHARACTERS),
+    "combined_rich_function_words": (*MARKS_AND_SPEECH, *LENGTHS, *CHARACTERS, *WORDS),
+    "mask_stripped_ngrams": (Tokens("", lambda: F.flatten(F.transform("parts", lambda x: _grams(x, (2, 3, 4), "")))),),
+    "mask_topology": TOPOLOGY,
+    "sentence_rhythm": RHYTHM,
+    "function_grammar": GRAMMAR,
+    "paragraph_discourse": DISCOURSE,
+}
 
 
 def feature_counts(df: DataFrame, id_col: str, text_col: str, family: str) -> DataFrame:
-    """(id, feature, value) of one family; a null text has none."""
-    ddl = f"id {df.schema[id_col].dataType.simpleString()}, feature string, value double"
-    return map_rows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), _Features(family), ddl)
+    """(id, feature, value) of one family, per row of df; a null text has none, repeated rows are counted each by itself."""
+    views = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("t"))
+    for name, made in VIEWS.items():
+        views = views.withColumn(name, made())
+    entries = F.concat(*[m.entries() for m in FAMILIES[family]])
+    each = views.select("id", "_row", F.explode(entries).alias("e"))
+    return each.groupBy("id", "_row", "e.feature").agg((F.sum("e.n") / F.max("e.per")).alias("value")).select("id", "feature", "value")
 
 
 def char_counts(df: DataFrame, keys: list[str], text: str, chars: str) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from inkwell.functions import views as V
-from inkwell.operators import catalogue as K, features as F, sequences as S, splits as SP, statistics as T
+from inkwell.operators import catalogue as K, sequences as S, splits as SP, statistics as T
 from inkwell.sources import readers as R, writers as W
 
 
@@ -24,15 +24,6 @@ def test_skeleton_has_no_runs(text):
     assert "CC" not in s and "¶¶" not in s and set(s) <= set("C¶，。“”因为")
 
 
-def test_feature_families_on_edges():
-    for name, fn in F.FAMILIES.items():
-        for text in ("", " \n", "天", "a" * 1000, "“好？”\n他说好。\n走！"):
-            assert all(np.isfinite(v) for v in fn(text).values()), name
-    r = F.sentence_rhythm("天地玄黄。宇宙！")
-    assert r["mean_sentence"] == 3.0 and r["shape:S.0.D"] == 0.5 and r["p50_sentence"] == 3.0
-    assert F.paragraph_discourse("“好”\n走了\n“好”")["alternation"] == 1.0
-
-
 def test_windows():
     assert S.word_windows([100, 150, 20], 230, 120) == [(0, 3)] and S.word_windows([10], 230, 120) == [] and S.word_windows([230, 130], 230, 120) == [(0, 1), (1, 2)]
     assert S.excerpt_windows([200, 200, 400, 10], 330, 520) == [(0, 2), (2, 3)]
