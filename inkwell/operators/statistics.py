@@ -10,7 +10,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from inkwell.operators.order import numbered, with_prefix
+from inkwell.operators.order import grouped_prefix, numbered, with_least, with_prefix
+from inkwell.session import cut
 
 
 def wilson(successes: Column, total: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -27,10 +28,7 @@ def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = No
     """Ranks from 1, ties at their mean. Nulls have none. Ranked over distinct values, so ties cost nothing."""
     by = by or []
     per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    if by:
-        placed = per.withColumn("_b", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    else:
-        placed = with_prefix(per, value, {"_n": "_b"})
+    placed = grouped_prefix(per, by, value, {"_n": "_b"})
     ranks = placed.select(*by, value, (F.col("_b") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value], "left")
 
@@ -45,11 +43,12 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Data
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """The value at rank ceil(q n), at least the first."""
-    w = W.partitionBy(*by)
-    k = F.row_number().over(w.orderBy(value))
-    r = df.where(F.col(value).isNotNull()).withColumn("_k", k).withColumn("_at", F.greatest(F.lit(1), F.ceil(F.count("*").over(w) * q)))
-    return r.where("_k = _at").select(*by, F.col(value).alias("value"))
+    """The value at rank ceil(q n), at least the first. Nulls are left out. Ranked over distinct values, a group over many tasks."""
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    placed = grouped_prefix(per, by, value, {"_n": "_b"})
+    whole = per.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.sum("_n") * q)).alias("_at")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_at")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return placed.join(whole, same).where("_b < _at and _at <= _b + _n").select(*by, F.col(value).alias("value"))
 
 
 def draw_index(resample: Column, position: Column, n: Column, seed: int) -> Column:
@@ -64,33 +63,51 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, resamples: int =
     Null values and clusters are left out. Clusters are numbered once; each resample
     joins its draws to the clusters' sums."""
     per = df.where(F.col(value).isNotNull() & F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    clusters = numbered(per, cluster, "i")
-    size = per.agg(F.count("*").alias("k"), (F.sum("s") / F.sum("n")).alias("mean"))
-    spark = df.sparkSession
-    draws = spark.range(resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(size)).where("k > 0").select("r", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("p"))
-    picked = draws.select("r", draw_index(F.col("r"), F.col("p"), F.col("k"), seed).alias("i")).join(clusters, "i")
+    clusters = numbered(cut(per), cluster, "i")
+    size = clusters.agg(F.count("*").alias("k"), (F.sum("s") / F.sum("n")).alias("mean")).first()
+    k = size["k"]
+    draws = df.sparkSession.range(resamples * k).select((F.col("id") / F.lit(max(k, 1))).cast("long").alias("r"), (F.col("id") % F.lit(max(k, 1))).alias("p"))
+    picked = draws.select("r", draw_index(F.col("r"), F.col("p"), F.lit(k), seed).alias("i")).join(clusters, "i")
     means = picked.groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"), F.count("*").alias("resamples")).crossJoin(size).select("mean", "lower", "upper", "resamples", F.col("k").alias("clusters"))
+    ends = means.agg(F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"), F.count("*").alias("resamples"))
+    return ends.where(F.lit(k > 0)).select(F.lit(size["mean"]).alias("mean"), "lower", "upper", "resamples", F.lit(k).cast("long").alias("clusters"))
+
+
+#: Rows whose order within a relabelling one task settles.
+_SETTLED = 10_000
 
 
 def permutation_test(df: DataFrame, group: str, value: str, permutations: int = 200, seed: int = 13) -> DataFrame:
     """Difference of the two groups' means, and the share of relabellings, hashed per row, with one as large (plus one).
 
-    df: (id, group, value) with group 0 or 1."""
-    base = df.select("id", F.col(group).cast("int").alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and g is not null")
-    size = base.agg(F.count("*").alias("n"), F.sum("g").alias("ones"), (F.avg(F.when(F.col("g") == 1, F.col("v"))) - F.avg(F.when(F.col("g") == 0, F.col("v")))).alias("observed"))
-    shuffled = base.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long")))).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "id")))
-    ranked = shuffled.withColumn("k", F.row_number().over(W.partitionBy("r").orderBy("h", "id"))).crossJoin(F.broadcast(size))
-    d = ranked.groupBy("r").agg((F.avg(F.when(F.col("k") <= F.col("ones"), F.col("v"))) - F.avg(F.when(F.col("k") > F.col("ones"), F.col("v")))).alias("d"))
-    return d.crossJoin(F.broadcast(size)).agg(F.max("observed").alias("observed"), ((F.sum((F.abs("d") >= F.abs("observed") - 1e-12).cast("long")) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("permutations"))
+    df: (id, group, value) with group 0 or 1. In each relabelling the rows with
+    the least hashes are the group: hashes are summed by their first digits, and
+    only the rows of the one prefix at the border are put in order."""
+    base = cut(df.select("id", F.col(group).cast("int").alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and g is not null"))
+    size = base.agg(F.count("*").alias("n"), F.sum("g").alias("ones"), F.sum("v").alias("s"), (F.avg(F.when(F.col("g") == 1, F.col("v"))) - F.avg(F.when(F.col("g") == 0, F.col("v")))).alias("observed")).first()
+    n, ones, digits = size["n"], size["ones"] or 0, 1
+    while 16**digits * _SETTLED < size["n"]:
+        digits += 1
+    each = df.sparkSession.range(permutations).withColumnRenamed("id", "r")
+    shuffled = base.select("id", "v").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long")))).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "id"))).withColumn("b", F.substring("h", 1, digits))
+    per = shuffled.groupBy("r", "b").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    per = cut(per.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("r").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
+    inside = per.where(F.col("before") + F.col("n") <= ones).groupBy("r").agg(F.sum("s").alias("s"))
+    border = per.where((F.col("before") < ones) & (F.col("before") + F.col("n") > ones)).select("r", "b", "before")
+    rest = shuffled.join(F.broadcast(border), ["r", "b"]).withColumn("k", F.row_number().over(W.partitionBy("r", "b").orderBy("h", "id")) + F.col("before")).where(F.col("k") <= ones).groupBy("r").agg(F.sum("v").alias("s"))
+    sums = each.join(inside.unionByName(rest), "r", "left").groupBy("r").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s1"))
+    d = sums.select(F.when(F.lit(0 < ones < n), F.col("s1") / F.lit(float(ones or 1)) - (F.lit(size["s"]) - F.col("s1")) / F.lit(float(max(1, n - ones)))).alias("d"))
+    seen = F.lit(size["observed"]).cast("double")
+    return d.agg(F.max(seen).alias("observed"), ((F.sum((F.abs("d") >= F.abs(seen) - 1e-12).cast("long")) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("permutations")).where(F.lit(n > 0))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "q") -> DataFrame:
-    """Adjusted p-values: running minimum from the largest of p m / rank."""
-    n = F.count("*").over(W.partitionBy())
-    k = F.row_number().over(W.orderBy(p, *[c for c in df.columns if c != p]))
-    r = df.withColumn("_k", k).withColumn("_x", F.least(F.lit(1.0), F.col(p) * n / F.col("_k")))
-    return r.withColumn(out, F.min("_x").over(W.orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0))).drop("_k", "_x")
+    """Adjusted p-values: running minimum from the largest of p m / rank. A null p has a null q and does not count."""
+    per = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_n"))
+    ranked = with_prefix(per, p, {"_n": "_b"})
+    m = per.agg(F.sum("_n").alias("_m"))
+    scaled = ranked.crossJoin(F.broadcast(m)).withColumn("_x", F.least(F.lit(1.0), F.col(p) * F.col("_m") / (F.col("_b") + F.col("_n"))))
+    return df.join(with_least(scaled, p, "_x", out, descending=True).select(p, out), p, "left").select(*df.columns, out)
 
 
 def logit(score: Column, eps: float = 1e-6) -> Column:

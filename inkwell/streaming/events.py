@@ -43,28 +43,38 @@ def first_seen(stream: DataFrame, keys: list[str], late: str = "2 hours") -> Dat
 
 
 def drained(query: DataFrame, mode: str = "append") -> DataFrame:
-    """What the query gives until its input is used up, as a table in the shared folder or, in complete mode, in memory."""
+    """What the query gives until its input is used up, as a table in the shared folder. In other modes than append every batch writes the whole result anew, and the last is read."""
     spark = query.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    folder = f"{shared_folder(spark)}/inkwell-{name}"
+    folder = f"{shared_folder(spark)}/inkwell-stream_{uuid.uuid4().hex}"
+    start = lambda w: w.option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     if mode == "append":
-        q = query.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
+        start(query.writeStream.format("parquet").option("path", f"{folder}/out"))
         return spark.read.schema(query.schema).parquet(f"{folder}/out")
-    q = query.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    if mode != "complete":
+        raise ValueError("results can be drained in append and complete mode")
+    start(query.writeStream.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/out/v{epoch:08d}")))
+    last = _versions(spark, f"{folder}/out")
+    return spark.read.schema(query.schema).parquet(last[-1]) if last else spark.createDataFrame([], query.schema)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[str]:
+    """The versions of a table, oldest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(f.getPath()) for f in fs.listStatus(path) if f.getPath().getName().startswith("v")) if fs.exists(path) else []
 
 
 def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that upserts each batch into the versioned table at path; a repeated batch changes nothing.
 
-    Every version is a folder of its own, so readers never see half a batch."""
+    Every version is a folder of its own, so readers never see half a batch. A
+    batch starts from the last version before it, whichever that is."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         target = f"{path}/v{epoch:08d}"
-        base = spark.read.parquet(f"{path}/v{epoch - 1:08d}") if epoch else batch.limit(0)
+        before = [v for v in _versions(spark, path) if v.rsplit("/", 1)[-1] < f"v{epoch:08d}"]
+        base = spark.read.parquet(before[-1]) if before else batch.limit(0)
         upsert(base, batch, keys, [F.desc(order)]).write.mode("overwrite").parquet(target)
 
     return run

@@ -321,6 +321,49 @@ def test_global_order_is_that_of_one_sort(spark):
     assert O.numbered(df.limit(0), "k").count() == 0
 
 
+def test_ranks_within_groups_and_least_before(spark):
+    from inkwell.operators import order as O
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), v, rng.choice([None, 0.5, 0.25, rng.random()])) for v in rng.sample(range(500), 90)]
+    df = spark.createDataFrame(rows, "g string, v int, p double").repartition(5)
+    got = {(r["g"], r["v"]): r["b"] for r in O.grouped_prefix(df.withColumn("one", F.lit(1)), ["g"], "v", {"one": "b"}).collect()}
+    assert got == {(g, v): sum(h == g and w < v for h, w, _ in rows) for g, v, _ in rows}
+    near = {r["g"]: r["value"] for r in T.nearest_rank(df, ["g"], "v", 0.3).collect()}
+    for g in ("a", "b", None):
+        vs = sorted(v for h, v, _ in rows if h == g)
+        assert near[g] == vs[max(1, -(-3 * len(vs) // 10)) - 1]
+    least = {r["v"]: r["m"] for r in O.with_least(df, "v", "p", "m").collect()}
+    for _, v, _ in rows:
+        seen = [p for _, w, p in rows if w <= v and p is not None]
+        assert least[v] == (min(seen) if seen else None)
+    ps = sorted(p for *_, p in rows if p is not None)
+    q = {r["p"]: r["q"] for r in T.benjamini_hochberg(df, "p").collect()}
+    for p in set(ps):
+        assert q[p] == pytest.approx(min(min(1, x * len(ps) / (k + 1)) for k, x in enumerate(ps) if x >= p))
+    assert q[None] is None and T.benjamini_hochberg(df.limit(0), "p").count() == 0 and T.nearest_rank(df.limit(0), ["g"], "v", 0.5).count() == 0
+
+
+def test_permutation_at_the_border(spark, monkeypatch):
+    import hashlib
+
+    rng = random.Random(7)
+    rows = [(i, int(rng.random() < 0.4), rng.random(), "x") for i in range(60)] + [(99, None, 1.0, "x"), (98, 1, None, "x")]
+    df = spark.createDataFrame(rows, "id long, g int, v double, r string")
+    base = [r for r in rows if r[1] is not None and r[2] is not None]
+    ones, mean = sum(r[1] for r in base), lambda x: sum(x) / len(x)
+    seen = mean([r[2] for r in base if r[1]]) - mean([r[2] for r in base if not r[1]])
+    large = 0
+    for k in range(20):
+        o = sorted(base, key=lambda r: (hashlib.md5(f"13:{k}:{r[0]}".encode()).hexdigest(), r[0]))
+        large += abs(mean([r[2] for r in o[:ones]]) - mean([r[2] for r in o[ones:]])) >= abs(seen) - 1e-12
+    for settled in (10_000, 2):
+        monkeypatch.setattr(T, "_SETTLED", settled)
+        r = T.permutation_test(df, "g", "v", 20).first()
+        assert r["p"] == pytest.approx((large + 1) / 21) and r["observed"] == pytest.approx(seen) and r["permutations"] == 20
+    assert T.permutation_test(df.limit(0), "g", "v", 5).count() == 0 and T.cluster_bootstrap(df.limit(0), "g", "v", 5).count() == 0
+
+
 def test_canonical_author(spark):
     df = spark.createDataFrame([("乙",), ("甲",), (None,)], "a string")
     assert [r[0] for r in df.select(X.canonical_author("a", {"乙": "甲"})).collect()] == ["甲", "甲", None]
