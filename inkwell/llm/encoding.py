@@ -108,6 +108,10 @@ class Model:
             self.tables[right, wrong] = _gains(self.logp, right, wrong)
         return self.tables[right, wrong]
 
+    def learned(self, undone: str) -> bool:
+        """Whether twins have shown all that restore() says it has undone."""
+        return undone == "characters lost" or set(undone.split(", ")) - {"characters lost"} <= {f"{r} read as {w}" for r, w in self.votes}
+
     def score(self, text: str) -> float:
         return float(self.logp[_points(text)].sum())
 
@@ -263,16 +267,15 @@ def _trace(right: str, wrong: str) -> re.Pattern:
 
 
 def _deeper(plain: str, wrong: str) -> str:
-    """Text misread several times over comes back in one go."""
-    for _ in range(3):
+    """Text misread several times over comes back in one go; every step leaves fewer characters, so there is a last one."""
+    while True:
         data, _at = _to_bytes(plain, wrong)
         if not _UTF8.search(data) or any(c == 0 for c in data):
-            break
+            return plain
         try:
             plain = data.decode("utf-8")
         except UnicodeDecodeError:
-            break
-    return plain
+            return plain
 
 
 def undo(text: str, right: str, wrong: str, model: Model, known: bool = False) -> list[tuple[int, int, str, float, bool]]:
@@ -549,14 +552,16 @@ class _Find:
             for k, among in suspects(p, self.model):
                 text = p.texts[k].as_py()
                 if (r := restore(text, self.model, among)) is not None:
-                    rows.append((ids[p.row[k]], int(p.no[k]), text, r[0], r[1]))
-            yield as_batch(rows, self.schema, 5)
+                    rows.append((ids[p.row[k]], int(p.no[k]), text, *r, self.model.learned(r[1])))
+            yield as_batch(rows, self.schema, 6)
 
 
 def garbled_paragraphs(df: DataFrame, id_col: str = "chapter_id", list_col: str = "paragraphs", model: Model | None = None) -> DataFrame:
-    """(id, para_no, text, restored, undone) of every paragraph decoded wrongly, wholly or in part.
+    """(id, para_no, text, restored, undone, learned) of every paragraph decoded wrongly, wholly or in part.
 
-    restored is null where characters were lost. Null lists and paragraphs are left out."""
+    restored is null where characters were lost. learned: twins have shown every
+    transformation undone; else the likelihood alone speaks for one. Null lists
+    and paragraphs are left out."""
     model = model or learn(df, list_col)
-    ddl = "id long, para_no int, text string, restored string, undone string"
+    ddl = "id long, para_no int, text string, restored string, undone string, learned boolean"
     return df.select(F.col(id_col).alias("id"), F.col(list_col).alias("p")).mapInArrow(_Find(model, ddl), ddl)

@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,16 +28,27 @@ from inkwell.session import cut
 SEED = 17
 
 
+@lru_cache(maxsize=256)
+def poisson(rate: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """(least count, probabilities, their sums from below) of the counts whose probability is not below e^-100 or so.
+
+    Reckoned from logarithms, so one way holds for every rate; what is left out is far less than the last digit of a draw."""
+    wide = 15 * math.sqrt(rate) + 120
+    low = max(0, math.floor(rate - wide))
+    k = np.arange(low, math.ceil(rate + wide) + 1, dtype=np.float64)
+    steps = np.log(rate) - np.log(np.maximum(k[1:], 1.0))
+    logs = np.concatenate(([0.0], np.cumsum(steps))) + (low * math.log(rate) - rate - math.lgamma(low + 1))
+    p = np.exp(logs)
+    p /= p.sum()
+    return low, p, np.cumsum(p)
+
+
 def cut_mean(rate: float, cap: int | None) -> float:
     """Mean of min(X, cap), X Poisson with this rate."""
-    if cap is None:
-        return rate
-    p, mean, tail = math.exp(-rate), 0.0, 1.0
-    for k in range(cap):
-        tail -= p  # P(X > k)
-        mean += max(0.0, tail)
-        p *= rate / (k + 1)
-    return mean
+    if cap is None or rate <= 0:
+        return max(0.0, rate)
+    low, p, _ = poisson(rate)
+    return float(np.minimum(np.arange(low, low + len(p)), cap) @ p)
 
 
 def rate_for(mean: float, cap: int | None) -> float:
@@ -45,7 +58,7 @@ def rate_for(mean: float, cap: int | None) -> float:
     if mean >= cap:
         return math.inf
     lo, hi = mean, max(1.0, mean)
-    while cut_mean(hi, cap) < mean and hi < 700:
+    while cut_mean(hi, cap) < mean and hi < 8 * cap + 800:  # beyond that every draw is cut, to the last digit
         hi *= 2
     for _ in range(80):
         mid = (lo + hi) / 2
@@ -60,18 +73,11 @@ def draw(doc_id: int, seed: int, rate: float, cap: int | None) -> int:
     if rate <= 0:
         return 0
     u = (xxhash.xxh3_64_intdigest(f"{seed}:{doc_id}".encode()) >> 11) / float(1 << 53)
-    if rate > 500:  # far from zero: normal approximation of the inverse
-        from statistics import NormalDist
-
-        k = max(0, round(rate + math.sqrt(rate) * NormalDist().inv_cdf(min(max(u, 1e-12), 1 - 1e-12))))
-        return k if cap is None else min(k, cap)
-    p = math.exp(-rate)
-    total, k = p, 0
-    while u >= total and (cap is None or k < cap) and p > 0:
-        k += 1
-        p *= rate / k
-        total += p
-    return k
+    if u == 0:  # less than any probability, also those left out
+        return 0
+    low, p, below = poisson(rate)
+    k = low + min(int(np.searchsorted(below, u, "right")), len(p) - 1)
+    return k if cap is None else min(k, cap)
 
 
 class _Draws:

@@ -1,3 +1,6 @@
+import bisect
+import random
+from decimal import Decimal, localcontext
 import math
 from collections import Counter, defaultdict
 
@@ -91,6 +94,22 @@ def test_rate_has_the_wanted_mean(cap, mean):
     assert abs(drawn - mean) < 0.05 * max(1, mean)
 
 
+@pytest.mark.parametrize("rate", [0.01, 0.7, 3.0, 45.5, 499.0, 501.0, 3000.0])
+def test_draws_invert_the_distribution(rate, monkeypatch):
+    with localcontext(prec=60):
+        p = (-Decimal(rate)).exp()
+        total, k, cdf = p, 0, [p]
+        while k < rate + 40 * rate**0.5 + 40:
+            k += 1
+            p = p * Decimal(rate) / k
+            total += p
+            cdf.append(total)
+    for u in (0, 1, 1 << 20, 1 << 40, 1 << 52, (1 << 52) + 12345, (1 << 53) - (1 << 30), *(random.Random(1).getrandbits(53) for _ in range(300))):
+        monkeypatch.setattr(M.xxhash, "xxh3_64_intdigest", lambda _: u << 11)
+        want = bisect.bisect_right(cdf, Decimal(u) / (1 << 53))
+        assert M.draw(1, 2, rate, None) == want and M.draw(1, 2, rate, 3) == min(3, want)
+
+
 def test_mixture(spark):
     df = docs(spark, 4000)
     targets = spark.createDataFrame([("s0", 0.5, 3), ("s1", 0.3, None), ("s2", 0.15, 1), ("empty", 0.05, 2)], "source string, target_share double, max_repeats int")
