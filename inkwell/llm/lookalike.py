@@ -8,8 +8,9 @@ The code points of all text are counted first. Every counted code point is tied
 to what it looks like (its half-width, composed, unified or spelled-out form,
 the space, nothing at all, the Latin letter), and every base letter with a
 combining accent to its single character, through all forms of the base.
-Of each class the most frequent member that the consistent form allows
-represents it. The longest variant wins at every place. Two automata are
+The most frequent member of each class represents it; where the consistent
+form, which is a given, has no such member, its most frequent member within the
+form does. The longest variant wins at every place. Two automata are
 built: one for all text, and one, with the look-alike letters, for words that
 hold a Latin letter.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -70,8 +71,10 @@ def _links(points: list[str], in_word: bool) -> Iterator[tuple[str, str]]:
             yield c, n
 
 
-def look_classes(counts: np.ndarray, in_word: bool) -> dict[str, str]:
-    """variant -> representative, for the code points counted."""
+def look_classes(counts: np.ndarray, in_word: bool, form: Callable[[str], str] | None = T.consistent) -> dict[str, str]:
+    """variant -> representative, for the code points counted.
+
+    form: what representatives must be left alone by; None lets frequency decide alone."""
     present = [chr(c) for c in np.flatnonzero(counts) if not 0xD800 <= c < 0xE000]
     uf = Classes()
     for a, b in _links(present, in_word):
@@ -102,14 +105,8 @@ def look_classes(counts: np.ndarray, in_word: bool) -> dict[str, str]:
     table: dict[str, str] = {}
     frequency = lambda s: min((int(counts[ord(c)]) for c in s), default=0)
     for members in uf.members().values():
-        allowed = [x for x in members if T.consistent(x) == x and not (in_word and any(c in T.LOOKALIKES for c in x))]
-        best = min(allowed or members, key=lambda x: (-frequency(x), len(x), x))
-        if len(allowed) > 1:  # what is spelled out and what is one character may both be allowed
-            singles = [x for x in allowed if unicodedata.normalize("NFC", x) == x]
-            best = min(singles or allowed, key=lambda x: (-frequency(x), len(x), x))
-        for x in members:
-            if x != best:
-                table[x] = best
+        best = _representative(members, frequency, in_word, form)
+        table.update((x, best) for x in members if x != best)
     if not in_word:
         for c in T.INVISIBLE:
             table[c] = ""
@@ -118,6 +115,14 @@ def look_classes(counts: np.ndarray, in_word: bool) -> dict[str, str]:
     return table
 
 
+def _representative(members: list[str], frequency: Callable[[str], int], in_word: bool, form: Callable[[str], str] | None) -> str:
+    ranked = sorted(members, key=lambda x: (-frequency(x), len(x), x))
+    if form is None:
+        return ranked[0]
+    within = [x for x in ranked if form(x) == x and not (in_word and any(c in T.LOOKALIKES for c in x))]
+    return next((x for x in within if unicodedata.is_normalized("NFC", x)), (within or ranked)[0])
+
+
 class Rewriter:
     """Greedy leftmost-longest rewriting; picklable, the automata are built where they are used."""
 
@@ -143,14 +148,16 @@ class Rewriter:
 
     def __call__(self, text: str) -> str:
         everywhere, in_word, _ = self._machines()
-        for _ in range(4):  # what one pass removes may have kept an accent from its letter
+        seen = set()
+        while text not in seen:  # what one pass removes may have kept an accent from its letter
+            seen.add(text)
             done = _rewrite(everywhere, text)
             if T._HAS_LOOKALIKE.search(done):
                 done = T._WORD.sub(lambda m: _rewrite(in_word, m.group()) if T._HAS_LATIN.search(m.group()) else m.group(), done)
             if done == text:
-                break
+                return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
             text = done
-        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        raise ValueError(f"rewriting does not end: {text[:80]!r}")
 
 
 def _automaton(table: dict[str, str]) -> ahocorasick.Automaton:
@@ -214,7 +221,7 @@ class _Variants:
                 for k in np.flatnonzero(some):
                     text = p.texts[int(k)].as_py()
                     form = self.rewriter(text)
-                    if form == text or T.consistent(text) == text:
+                    if form == text:
                         continue
                     if k in odd and restore(text, self.garbled, odd[k]) is not None:
                         continue
