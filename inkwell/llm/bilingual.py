@@ -20,18 +20,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from inkwell.functions.arrow import arrow_schema, as_batch, map_rows
 from inkwell.functions.textform import consistent
 from inkwell.session import cut
 
-#: Least cosine of two terms, and how many of the best partners of a term are kept.
-LEAST, PARTNERS = 0.15, 64
+#: Least cosine of two terms.
+LEAST = 0.15
 #: A term in fewer concepts has no vector; one in more than this share tells nothing.
 MIN_CONCEPTS, MAX_SHARE = 3, 0.85
 #: Least score of a pair, weight of the better explained side, and the cosine from which a term counts as used up.
@@ -118,65 +118,89 @@ class _Frequencies:
 
 
 class Lexicon:
-    """Cosines of terms across the languages, and the weights of terms."""
-
-    def __init__(self, cosines: dict[str, dict[str, float]], weights: dict[str, float]) -> None:
-        self.cosines, self.weights = cosines, weights
+    """Cosines of terms across the languages, and the weights of terms.
+
+    pairs: term, partner and cosine as arrays. Kept by English term, as runs of numbered partners."""
+
+    def __init__(self, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], weights: dict[str, float]) -> None:
+        self.weights = weights
+        self.chinese = {t[1:]: k for k, t in enumerate(sorted(x for x in weights if x[0] == "z"))}
+        s, z, c = pairs
+        order = np.argsort(s, kind="stable")
+        s, z, c = s[order], z[order], c[order]
+        begins = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, dtype=np.int64)
+        self.runs = {str(s[a]): (int(a), int(e)) for a, e in zip(begins, [*begins[1:], len(s)])}
+        self.partners = np.array([self.chinese.get(t, -1) for t in z], dtype=np.int32)
+        self.cosines = c.astype(np.float32)
+
+    def _known(self, elements: list[str | None], side: str, terms: Callable[[str], list[str]]) -> tuple[list[int], list[list[str]]]:
+        """The elements that have known terms, and these."""
+        found = [(k, x) for k, e in enumerate(elements) if e and (x := sorted({t for t in terms(e) if side + t in self.weights}))]
+        return [k for k, _ in found], [x for _, x in found]
 
     def align(self, source: list[str | None], zh: list[str | None], least: float = SCORE) -> list[tuple[int, int, float]]:
         """(source_no, zh_no, score) of the elements that translate each other or a part of each other."""
-        s = [sorted({t for t in english_terms(x) if "s" + t in self.weights}) if x else [] for x in source]
-        z = [sorted({t for t in chinese_terms(x) if "z" + t in self.weights}) if x else [] for x in zh]
-        ps = {t: k for k, t in enumerate(sorted({t for x in s for t in x}))}
-        pz = {t: k for k, t in enumerate(sorted({t for x in z for t in x}))}
-        if not ps or not pz:
+        no_s, s = self._known(source, "s", english_terms)
+        no_z, z = self._known(zh, "z", chinese_terms)
+        if not s or not z:
             return []
-        b = np.zeros((len(ps), len(pz)), dtype=np.float32)
-        for t, k in ps.items():
-            for u, c in self.cosines.get(t, {}).items():
-                if (j := pz.get(u)) is not None:
-                    b[k, j] = c
-        ws = np.array([self.weights["s" + t] for t in ps], dtype=np.float32)
-        wz = np.array([self.weights["z" + t] for t in pz], dtype=np.float32)
-        at_s = [np.array([ps[t] for t in x], dtype=np.int64) for x in s]
-        at_z = [np.array([pz[t] for t in x], dtype=np.int64) for x in z]
-        left_s, left_z = [np.ones(len(x), dtype=bool) for x in at_s], [np.ones(len(x), dtype=bool) for x in at_z]
-        sum_s, sum_z = [float(ws[x].sum()) for x in at_s], [float(wz[x].sum()) for x in at_z]
-
-        def best(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-            m = b[at_s[i]][:, at_z[j]] * (left_s[i][:, None] & left_z[j][None, :])
-            return m.max(axis=1), m.max(axis=0)
-
-        def score(i: int, j: int) -> float:
-            if not sum_s[i] or not sum_z[j]:
-                return 0.0
-            a, c = best(i, j)
-            p, q = float(a @ ws[at_s[i]]) / sum_s[i], float(c @ wz[at_z[j]]) / sum_z[j]
-            return BETTER * max(p, q) + (1 - BETTER) * min(p, q)
-
-        scores = np.array([[score(i, j) for j in range(len(z))] for i in range(len(s))])
+        flat_s, flat_z = [t for x in s for t in x], [t for x in z for t in x]
+        at_s, at_z = (np.cumsum([0, *map(len, x)]) for x in (s, z))
+        ws, wz = np.array([self.weights["s" + t] for t in flat_s]), np.array([self.weights["z" + t] for t in flat_z])
+        m = self._cosines(flat_s, flat_z)
+        from_s, from_z = at_s[:-1], at_z[:-1]
+        sum_s, sum_z = np.add.reduceat(ws, from_s), np.add.reduceat(wz, from_z)
+
+        def score(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return (BETTER * np.maximum(p, q) + (1 - BETTER) * np.minimum(p, q)).round(6)  # rounded, so that equal elements tie
+
+        def one(i: int, j: int) -> float:
+            rows, columns = slice(at_s[i], at_s[i + 1]), slice(at_z[j], at_z[j + 1])
+            block = m[rows, columns]
+            return float(score(np.dot(block.max(axis=1), ws[rows]) / sum_s[i], np.dot(block.max(axis=0), wz[columns]) / sum_z[j]))
+
+        p = np.add.reduceat(np.maximum.reduceat(m, from_z, axis=1) * ws[:, None], from_s, axis=0) / sum_s[:, None]
+        q = np.add.reduceat(np.maximum.reduceat(m, from_s, axis=0) * wz, from_z, axis=1) / sum_z
+        scores = score(p, q)
         out = []
         while True:
             i, j = divmod(int(scores.argmax()), len(z))
             if scores[i, j] < least:
                 return out
-            out.append((i, j, float(scores[i, j])))
-            a, c = best(i, j)
-            left_s[i] &= a < USED
-            left_z[j] &= c < USED
+            out.append((no_s[i], no_z[j], float(scores[i, j])))
+            rows, columns = slice(at_s[i], at_s[i + 1]), slice(at_z[j], at_z[j + 1])
+            used_s, used_z = m[rows, columns].max(axis=1) >= USED, m[rows, columns].max(axis=0) >= USED
+            m[rows][used_s] = 0
+            m[:, columns][:, used_z] = 0
             scores[i, j] = -1
-            for k in range(len(z)):
-                if scores[i, k] >= least:
-                    scores[i, k] = score(i, k)
-            for k in range(len(s)):
-                if scores[k, j] >= least:
-                    scores[k, j] = score(k, j)
+            for k in np.flatnonzero(scores[i] >= least):
+                scores[i, k] = one(i, k)
+            for k in np.flatnonzero(scores[:, j] >= least):
+                scores[k, j] = one(k, j)
+
+    def _cosines(self, flat_s: list[str], flat_z: list[str]) -> np.ndarray:
+        """The cosines of two lists of terms, which may repeat."""
+        distinct = {t: k for k, t in enumerate(dict.fromkeys(flat_z))}
+        place = getattr(self, "_place", None)
+        if place is None:
+            place = self._place = np.full(len(self.chinese) + 1, -1, dtype=np.int32)
+        numbers = [self.chinese[t] for t in distinct]
+        place[numbers] = np.arange(len(numbers))
+        rows = {t: k for k, t in enumerate(dict.fromkeys(flat_s))}
+        runs = [self.runs.get(t, (0, 0)) for t in rows]
+        k = place[np.concatenate([self.partners[a:e] for a, e in runs])]
+        c = np.concatenate([self.cosines[a:e] for a, e in runs])
+        row = np.repeat(np.arange(len(rows)), [e - a for a, e in runs])
+        place[numbers] = -1
+        met = np.zeros((len(rows), len(numbers)), dtype=np.float32)
+        met[row[k >= 0], k[k >= 0]] = c[k >= 0]
+        return met.take([rows[t] for t in flat_s], axis=0).take([distinct[t] for t in flat_z], axis=1)
 
 
 def fit(df: DataFrame, id_col: str = "entry_id") -> Lexicon:
     """Term cosines and term weights over all entries. Equal entries make one concept.
 
-    The driver gets at most PARTNERS partners of each term."""
+    The driver gets every cosine of LEAST or more between two terms of MIN_CONCEPTS entries: their number grows with the vocabulary."""
     base = df.where(F.col(id_col).isNotNull()).select("source", "zh").where("size(source) > 0 and size(zh) > 0")
     concepts = base.distinct().select(F.xxhash64("source", "zh").alias("entry"), "source", "zh")
     terms = cut(map_rows(concepts, _terms, "entry long, side string, term string"))
@@ -190,16 +214,13 @@ def fit(df: DataFrame, id_col: str = "entry_id") -> Lexicon:
     met = pairs.join(side("s", "a"), "a").join(side("z", "b"), "b").drop("a", "b")
     cosine = (F.col("n") * k - F.col("ns") * F.col("nz")) / F.sqrt(F.col("ns") * (k - F.col("ns")).cast("double") * F.col("nz") * (k - F.col("nz")))
     near = met.withColumn("c", cosine).where(F.col("c") >= LEAST)
-    ranked = near.withColumn("a", F.row_number().over(W.partitionBy("s").orderBy(F.desc("c"), "z"))).withColumn("b", F.row_number().over(W.partitionBy("z").orderBy(F.desc("c"), "s")))
-    cosines: dict[str, dict[str, float]] = {}
-    known = set()
-    for r in ranked.where((F.col("a") <= PARTNERS) | (F.col("b") <= PARTNERS)).select("s", "z", "c").toLocalIterator():
-        cosines.setdefault(r["s"], {})[r["z"]] = r["c"]
+    got = near.select("s", "z", F.col("c").cast("float").alias("c")).toArrow()
+    pairs = tuple(got.column(c).to_numpy() if got.num_rows else np.zeros(0, dtype=object) for c in ("s", "z", "c"))
     known = {r["side"] + r["term"] for r in counts.select("side", "term").toLocalIterator()}
     seen = df.select("source", "zh").mapInArrow(_Frequencies(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     n = {r["term"]: r["n"] for r in seen.toLocalIterator()}
     whole = n.pop("all", 0)
-    return Lexicon(cosines, {t: 0.1 + math.log((whole + 1) / c) for t, c in n.items()})
+    return Lexicon(pairs, {t: 0.1 + math.log((whole + 1) / c) for t, c in n.items()})
 
 
 class _Align:
