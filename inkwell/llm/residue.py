@@ -3,20 +3,28 @@
 Method: retrieve labelled residue exemplars through an inverted index; compute
 TF-IDF containment over passage windows and exclude high-coverage matches.
 
-Text is cut into grams: two characters from an ideograph on, four from any
-other letter on; digits, spaces and punctuation make no grams, and an unfilled
-placeholder of any template language makes one gram of its own. The inverted
-index leads from the grams of the exemplars to the exemplars. All paragraphs
-are scanned with it in arrays; how often an exemplar's gram occurs in all
-paragraphs gives its weight. A paragraph whose sentence windows are covered by
-one exemplar, and which the exemplar does not cover by accident only, is residue.
+Exemplars are a table (kind, text), a parameter; `default_exemplars` is the one
+used if none is given. Text is cut into grams: two characters from an ideograph
+on, four from any other letter on; digits, spaces and punctuation make no
+grams. The inverted index leads from grams to exemplars and to kinds. All
+paragraphs are scanned with it in arrays; how often an exemplar's gram occurs in
+all paragraphs gives its weight. A paragraph is residue if one exemplar covers
+its sentence windows, and not by accident only, or if the exemplars of one kind
+do together: so wordings that no exemplar has are found by those they are put
+together from.
+
+Exemplars of the kind "placeholder" go into the index by their marks: what
+stands before and behind the name, and what the name may be; the scan looks for
+every pair of marks that has an exemplar.
 """
 
 from __future__ import annotations
 
+import builtins
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import numpy as np
 import pyarrow as pa
@@ -33,29 +41,14 @@ HELD = 0.3
 #: Coverage by any exemplars from which a paragraph is looked at more closely.
 LOOK = 0.5
 
+#: The same for filler Latin, whose words are made up anew.
+LATIN_COVERED = 0.6
+#: The same for the exemplars of one kind together, and the least number of different grams that they must cover.
+TOGETHER, LEAST_GRAMS = 0.8, 4
+
 # Exemplars of residue, by kind. A blank stands for what varies.
 EXEMPLARS = {
     "error": """
-404 Not Found
-HTTP Error 404: Not Found.
-HTTP Error: Service Unavailable.
-HTTP Error: Forbidden.
-HTTP Error: Bad Gateway.
-HTTP Error: Gateway Timeout.
-HTTP Error: Internal Server Error.
-HTTP Error: Too Many Requests.
-Error code (Not Found)
-Error code (Forbidden)
-Error code (Bad Gateway)
-Error code (Gateway Timeout)
-Error code (Internal Server Error)
-Error code (Service Unavailable)
-Status; Internal Server Error
-Status; Not Found
-Status; Forbidden
-Status; Bad Gateway
-Status; Gateway Timeout
-Status; Service Unavailable
 Sorry, the page you requested could not be found.
 The requested URL was not found on this server.
 This page isn't working right now.
@@ -65,7 +58,6 @@ Request ID
 Connection timed out after ms
 Connection refused
 Connection reset by peer
-Traceback: KeyError
 Traceback (most recent call last)
 TypeError: cannot read property 'body' of undefined at line
 TypeError: undefined is not a function
@@ -79,32 +71,11 @@ Fatal error: maximum execution time exceeded
 Database connection failed
 Something went wrong, please try again later.
 [object Object]
-undefined
-null null null
-NaN / NaN
-服务暂时不可用
-网关超时
-页面不存在
-系统繁忙，请稍后再试
-您没有访问权限
-禁止访问
-内部服务器错误
-服务器返回，服务暂时不可用。
-服务器返回，网关超时。
-服务器返回，页面不存在。
-服务器返回，您没有访问权限。
-服务器返回，系统繁忙，请稍后再试。
-错误：服务暂时不可用
-错误：网关超时
-错误：页面不存在
-错误：您没有访问权限
-错误：系统繁忙，请稍后再试
 抱歉，您访问的章节不存在或已被删除。
 抱歉，您访问的页面不存在。
 未找到对应的章节内容，错误编号
 页面走丢了，秒后自动返回首页。
 请求过于频繁，请秒后重试。
-数据库连接失败
 程序发生异常，请联系管理员
 """,
     "loading": """
@@ -150,13 +121,6 @@ Please turn on cookies and reload this page.
 请开启 Cookie 后重试
 """,
     "filler": """
-内容内容内容内容内容内容
-占位内容占位内容占位内容
-这里是正文这里是正文这里是正文
-测试文字测试文字测试文字
-测试内容测试内容测试内容
-正文待更新，正文待更新，正文待更新，
-示例文本示例文本示例文本
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
 Your text goes here
 Insert text here
@@ -168,22 +132,84 @@ qwerty qwerty qwerty
 foo bar foo bar
 blah blah blah blah
 xxx xxx xxx xxx
-占位文字占位文字占位文字
-填充文字填充文字填充文字
 此处文字待补充
 """,
 }
-# Syllables of filler Latin; every two in a row are an exemplar's words.
-SYLLABLES = "lo rem ip sum do lor sit am et amis con sec te tur ad cun tet elit em er or fug quis nat vel".split()
-
-#: Unfilled placeholders of common template languages.
-PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|\$\{[^{}\n]{1,60}\}|<%=?[^<>\n]{1,60}%>|\[\[[^\[\]\n]{1,60}\]\]"
-    r"|@@[^@\s]{1,40}@@|__[A-Za-z㐀-鿿][^\s]{0,40}?__|#[A-Z㐀-鿿][A-Z0-9_.㐀-鿿]{1,30}#|%[A-Z㐀-鿿][A-Z0-9_.㐀-鿿]{1,30}%"
-    r"|\{[A-Z㐀-鿿][A-Z0-9_.㐀-鿿]{1,30}\}|<[A-Z㐀-鿿][A-Z0-9_.㐀-鿿]{1,30}>|[【\[［（(](?:此处|在此|请在此)(?:插入|填写|输入|添加)[^】\]］）)\n]{0,20}[】\]］）)]"
-)
-_OPENERS = "{$<[@_#%【［（("
-#: Marks that no prose writes but code and templates do: an unclosed or odd placeholder is not taken for one.
+# What a server of a Chinese site says is wrong.
+STATES = "服务暂时不可用 网关超时 页面不存在 系统繁忙，请稍后再试 您没有访问权限 禁止访问 内部服务器错误 请求超时 连接失败 服务器无响应 参数错误 数据库连接失败 网络异常，请稍后重试 资源不存在".split()
+#: Frames around what is wrong, and around the reason phrases of HTTP and the names of Python's exceptions.
+FRAMES_ZH = ("{}", "错误：{}", "服务器返回，{}。", "出错了：{}", "抱歉，{}")
+FRAMES_HTTP = ("{}", "Error: {}", "HTTP Error: {}.", "Error code ({})", "Status; {}", "HTTP status {}")
+FRAMES_PYTHON = ("Traceback: {}", "Uncaught {}")
+# What is loaded and how that goes, where a visitor is sent, and what is asked of them.
+LOADED_ZH, LOADING_ZH = "正文 章节 章节内容 内容 图片 页面 数据".split(), "加载中 加载失败 获取中 获取失败 正在加载 正在手打中".split()
+THEN_ZH = ("，请稍候", "，请稍后刷新", "，点击重试", "，请刷新重试")
+SENT_ZH, TARGETS_ZH = "正在跳转到 即将返回 自动返回".split(), "首页 阅读页 目录页 登录页".split()
+ASKED_ZH, SCRIPTS_ZH = "请启用 请开启 请打开 需要开启 您的浏览器禁用了 无法运行".split(), ("脚本", "JavaScript", "Cookie")
+SO_ZH = ("后刷新本页", "才能阅读", "，正文无法显示", "，请检查浏览器设置", "，请升级浏览器后再试")
+LOADED_EN, LOADING_EN = "chapter content image page text".split(), ("Loading {}, please wait...", "Failed to load the {}. Click to retry.", "Could not load {}, try again")
+SENT_EN, TARGETS_EN = ("Redirecting to the {}...", "You are being redirected to the {}"), "reader page chapter site".split()
+ASKED_EN, SCRIPTS_EN = ("Please enable {} to view this", "You need to enable {} to run this", "This site requires {}; turn on and reload", "{} disabled in your browser"), ("JavaScript", "scripts", "cookies", "JavaScript and cookies")
+# Words that filler repeats, and what programs print for nothing.
+FILLER_ZH, NOTHING = "内容 正文 文字 文本 占位内容 占位文字 测试内容 测试文字 示例文本 示例内容 填充文字 这里是正文 正文待更新， 内容待补充，".split(), "null undefined NaN None nil".split()
+# How a place for text is named, and the brackets around that; the marks of template languages around a name.
+PLACES, ENTER, BRACKETS = "此处 在此 请在此".split(), "插入 填写 输入 添加".split(), "【】 [] ［］ （） ()".split()
+PLACEHOLDERS = "{{ name }} {% name %} ${name} <% name %> <%= name %> [[name]] @@name@@ __name__ #NAME# %NAME% {NAME} <NAME>"
+
+
+def default_exemplars() -> list[tuple[str, str]]:
+    """(kind, text): the fixed exemplars, and those that frames, states and brackets give."""
+    out = [(kind, x) for kind, block in EXEMPLARS.items() for x in block.strip().split("\n")]
+    phrases = sorted({s.phrase for s in HTTPStatus if s >= 400} | {"Gateway Time-out"})
+    errors = sorted(n for n, e in vars(builtins).items() if isinstance(e, type) and issubclass(e, Exception) and n.endswith("Error"))
+    for frames, fill in ((FRAMES_ZH, STATES), (FRAMES_HTTP, phrases), (FRAMES_PYTHON, errors)):
+        out += [("error", f.format(x)) for x in fill for f in frames]
+    out += [("loading", f"{x}{y}{z}") for x in LOADED_ZH for y in LOADING_ZH for z in THEN_ZH]
+    out += [("loading", f"{x}{y}") for x in SENT_ZH for y in TARGETS_ZH]
+    out += [("loading", f.format(x)) for xs, fs in ((LOADED_EN, LOADING_EN), (TARGETS_EN, SENT_EN)) for x in xs for f in fs]
+    out += [("demand", f"{x}{y}{z}") for x in ASKED_ZH for y in SCRIPTS_ZH for z in SO_ZH]
+    out += [("demand", f"{f.format(x)} {y}") for x in SCRIPTS_EN for f in ASKED_EN for y in LOADED_EN]
+    out += [("filler", x * 4) for x in FILLER_ZH] + [("error", " ".join([x] * 3)) for x in NOTHING]
+    out += [("placeholder", x) for x in re.findall(r"\S+ name \S+|\S+", PLACEHOLDERS)]
+    out += [("placeholder", f"{b[0]}{p}{e}正文{b[1]}") for b in BRACKETS for p in PLACES for e in ENTER]
+    return out
+
+
+def latin_pieces(passage: str) -> list[str]:
+    """The ends of two or three letters of the words of filler Latin, and its short words: what more of it is put together from."""
+    words = set(re.findall("[a-z]+", passage.lower()))
+    return sorted({x for w in words for x in (w[:2], w[:3], w[-2:], w[-3:]) if len(x) > 1})
+
+
+_PROSE = "【［（(["  # brackets that prose has too, so the words behind them must be an exemplar's
+_NAME = "[A-Z㐀-鿿][A-Z0-9_.㐀-鿿]{1,30}"
+
+
+def placeholder_pattern(texts: list[str]) -> tuple[re.Pattern, str]:
+    """What placeholders of the exemplars' kinds look like, and the characters that one begins with.
+
+    Marks of two characters or more may hold any short name, single marks a name in
+    capitals or ideographs, brackets of prose the four characters that the exemplar begins with."""
+    found: dict[tuple[str, str], set[str]] = defaultdict(set)
+    for t in texts:
+        m = re.fullmatch(r"((?:(?!_)\W|_)+?)\s*([^\W_].*?)\s*((?:(?!_)\W|_)+)", t.strip())
+        if m:
+            found[m[1], m[3]].add(m[2][:4])
+    parts = []
+    for (a, z), begins in sorted(found.items(), key=lambda x: (-len(x[0][0]), x[0])):
+        out = re.escape("".join(sorted(set(a + z) - {"_"})))
+        if len(a) == 1 and a in _PROSE:
+            name = "(?:" + "|".join(map(re.escape, sorted(begins))) + f")[^{out}\n]{{0,20}}"
+        elif len(a) == 1 and len(z) == 1:
+            name = _NAME
+        elif a == z:  # marks that look alike on both sides hold no space
+            name = rf"[^\W_]\S{{0,40}}?" if "_" in a else rf"[^{out}\s]{{1,40}}"
+        else:
+            name = rf"[^{out}\n]{{1,60}}"
+        parts.append(re.escape(a) + name + re.escape(z))
+    return re.compile("|".join(parts) or "(?!)"), "".join(sorted({a[0] for a, _ in found}))
+
+
 _WINDOW = re.compile("[^。！？!?；;\n]+[。！？!?；;\n]*")
 
 _VARIES = re.compile(r"'[^'\n]{1,40}'|\b(?=[a-f]*[0-9])[0-9a-f]{4,}\b")
@@ -253,28 +279,31 @@ def _points(text: str) -> np.ndarray:
 
 
 class Index:
-    """Inverted index from grams to exemplars, with the grams' weights once all paragraphs are counted."""
+    """Inverted index from grams to exemplars and kinds, with the grams' weights once all paragraphs are counted."""
 
-    def __init__(self) -> None:
-        lines = [(kind, x) for kind, block in EXEMPLARS.items() for x in block.strip().split("\n")]
-        lines += [("filler", " ".join(f"{a}{b}{c}" for c in SYLLABLES) + " " + " ".join(f"{c}{a}{b}" for c in SYLLABLES)) for a in SYLLABLES for b in SYLLABLES]
+    def __init__(self, exemplars: list[tuple[str, str]] | None = None) -> None:
+        lines = default_exemplars() if exemplars is None else exemplars
+        self.placeholder, self.openers = placeholder_pattern([x for kind, x in lines if kind == "placeholder"])
         self.kinds: list[str] = []
         self.grams: list[np.ndarray] = []
-        latin: list[np.ndarray] = []
         for kind, text in lines:
             g = np.unique(grams(_points(text))[1])
-            if text.count(" ") > 40:
-                latin.append(g)
-            elif len(g):
+            if kind != "placeholder" and len(g):
                 self.kinds.append(kind)
                 self.grams.append(g)
-        self.kinds.append("filler")
-        self.grams.append(np.unique(np.concatenate(latin)))
-        self.latin = len(self.kinds) - 1
+        pieces = latin_pieces(" ".join(x for kind, x in lines if kind == "filler" and x.isascii() and x.count(" ") > 40))
+        self.latin = len(self.kinds)
+        if pieces:
+            pairs = [a + b for a in pieces for b in pieces]
+            self.kinds.append("filler")
+            self.grams.append(np.unique(np.concatenate([grams(_points(" ".join(f"{x}{c}" for x in pairs)))[1] for c in pieces[::16]] + [grams(_points(" ".join(pairs)))[1]])))
         self.postings: dict[int, list[int]] = defaultdict(list)
+        self.of_kind: dict[int, set[str]] = defaultdict(set)
         for e, g in enumerate(self.grams):
             for s in g.tolist():
                 self.postings[s].append(e)
+                if e != self.latin:
+                    self.of_kind[s].add(self.kinds[e])
         self.known = np.zeros(SLOTS, dtype=bool)
         self.known[list(self.postings)] = True
         self.weights: np.ndarray | None = None
@@ -290,9 +319,11 @@ class Index:
         self.totals = [float(w[g].sum()) for g in self.grams]
 
     def judge(self, text: str) -> str | None:
-        """The kind of residue that a paragraph is, or None. What stands in ASCII quotes and hexadecimal numbers vary."""
+        """The kind of residue that a paragraph is, or None. What stands in ASCII quotes and hexadecimal numbers vary.
+
+        A window that is residue makes its paragraph so if it is half of it or more."""
         text = consistent(text)
-        if any(c in text for c in _OPENERS) and PLACEHOLDER.search(text):
+        if any(c in text for c in self.openers) and self.placeholder.search(text):
             return "placeholder"
         text = _VARIES.sub(" ", text)
         for window in [text, *(m.group() for m in _WINDOW.finditer(text))] if _WINDOW.fullmatch(text) is None else [text]:
@@ -309,17 +340,26 @@ class Index:
         whole = float(w[slots].sum())
         by: dict[int, float] = defaultdict(float)
         own: dict[int, float] = defaultdict(float)
+        kinds: dict[str, float] = defaultdict(float)
+        different: Counter = Counter()
         seen: set[int] = set()
         for s in slots.tolist():
             for e in self.postings.get(s, ()):
                 by[e] += float(w[s])
                 if s not in seen:
                     own[e] += float(w[s])
+            for k in self.of_kind.get(s, ()):
+                kinds[k] += float(w[s])
+                different[k] += s not in seen
             seen.add(s)
-        for e, covered in sorted(by.items(), key=lambda x: -x[1])[:8]:
-            if covered >= COVERED * whole and (e == self.latin and len(slots) >= 12 or e != self.latin and own[e] >= HELD * self.totals[e]):
+        if by.get(self.latin, 0.0) >= LATIN_COVERED * whole and len(slots) >= 12:
+            return self.kinds[self.latin]
+        for e, covered in sorted(by.items(), key=lambda x: -x[1]):
+            if covered < COVERED * whole:
+                break
+            if e != self.latin and own[e] >= HELD * self.totals[e]:
                 return self.kinds[e]
-        return None
+        return next((k for k, covered in sorted(kinds.items(), key=lambda x: -x[1]) if covered >= TOGETHER * whole and different[k] >= LEAST_GRAMS), None)
 
 
 class _Count:
@@ -349,7 +389,7 @@ class _Judge:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, known = self.index.weights, self.index.known
         opener = np.zeros(TOP, dtype=bool)
-        opener[[ord(c) for c in _OPENERS]] = True
+        opener[[ord(c) for c in self.index.openers]] = True
         for b in batches:
             ids = b.column(0).to_pylist()
             p = points_of(b.column(1))
@@ -370,12 +410,14 @@ class _Judge:
             yield as_batch(rows, self.schema, 4)
 
 
-def residue(df: DataFrame, id_col: str = "chapter_id", list_col: str = "paragraphs") -> DataFrame:
+def residue(df: DataFrame, id_col: str = "chapter_id", list_col: str = "paragraphs", exemplars: list[tuple[str, str]] | None = None) -> DataFrame:
     """(id, para_no, kind, text) of every paragraph that a template or a failing site left.
 
-    Null, empty and blank paragraphs are none. What reaches the driver: counts
-    of the exemplars' grams."""
-    index = Index()
+    exemplars: (kind, text) rows, of the kind "placeholder" with their marks; they
+    and their index travel with the tasks, so they are as many as a person labels,
+    not a table that grows. Null, empty and blank paragraphs are none. What reaches
+    the driver: counts of the exemplars' grams."""
+    index = Index(exemplars)
     counts = df.select(F.col(list_col).alias("p")).mapInArrow(_Count(index.known), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     counts = {r["slot"]: r["n"] for r in counts}
     index.weigh(counts, counts.pop(-1, 0))

@@ -28,7 +28,7 @@ def test_found_and_left(spark):
 
 @pytest.mark.parametrize("text", RESIDUE[:11])
 def test_placeholders(text):
-    assert S.PLACEHOLDER.search(text)
+    assert S.Index().placeholder.search(text)
 
 
 def test_grams_stay_inside_words():
@@ -37,3 +37,25 @@ def test_grams_stay_inside_words():
     p = np.frombuffer("ab cd 中文1字".encode("utf-32-le"), dtype=np.uint32)
     at, _ = S.grams(p)
     assert at.tolist() == [0, 3, 6]
+
+
+def test_wordings_left_out_are_found_by_the_others():
+    """Index of half of the exemplars, tried on the other half."""
+    import random
+
+    lines = [e for e in S.default_exemplars() if e[0] != "placeholder" and len(S.grams(S._points(e[1]))[0]) >= S.LEAST_GRAMS]
+    for seed in range(3):
+        rng = random.Random(seed)
+        rng.shuffle(lines)
+        index = S.Index(lines[: len(lines) // 2])
+        index.weigh({}, 1_000_000)
+        rest = lines[len(lines) // 2 :]
+        assert sum(index.judge(t) is not None for _, t in rest) / len(rest) >= 0.9
+        assert not any(index.judge(t) for t in STORY if t and not t.isspace())
+
+
+def test_own_exemplars(spark):
+    df = spark.createDataFrame([(1, ["请稍等，书页正在装订当中。", "他走了。", "<<TITLE>> 归来"], "x", "y", "z")], DDL)
+    got = {(r["para_no"], r["kind"]) for r in S.residue(df, exemplars=[("binding", "书页正在装订当中"), ("placeholder", "<<name>>")]).collect()}
+    assert got == {(0, "binding"), (2, "placeholder")}
+    assert S.residue(df, exemplars=[]).count() == 0
