@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import builtins
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from http import HTTPStatus
 
@@ -31,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from inkwell.functions.arrow import arrow_schema, as_batch
-from inkwell.functions.textform import KANGXI, consistent
+from inkwell.functions.textform import INVISIBLE, KANGXI, consistent
 from inkwell.llm.points import TOP, points_of
 
 #: Least share of a window's weight that one exemplar must cover.
 COVERED = 0.72
 #: Least share of an exemplar's weight that the window must hold, so that a scrap of one does not count.
 HELD = 0.3
-#: Coverage by any exemplars from which a paragraph is looked at more closely.
-LOOK = 0.5
+#: Coverage by all exemplars from which a window is looked at more closely: that of any one is no more. Less where
+#: parts of the text are left out before it is judged.
+LOOK, LOOK_VARIED = 0.6, 0.3
 
 #: The same for filler Latin, whose words are made up anew.
 LATIN_COVERED = 0.6
@@ -298,21 +299,23 @@ class Index:
             self.kinds.append("filler")
             self.grams.append(np.unique(np.concatenate([grams(_points(" ".join(f"{x}{c}" for x in pairs)))[1] for c in pieces[::16]] + [grams(_points(" ".join(pairs)))[1]])))
         self.postings: dict[int, list[int]] = defaultdict(list)
-        self.of_kind: dict[int, set[str]] = defaultdict(set)
+        self.masks: dict[str, np.ndarray] = {k: np.zeros(SLOTS, dtype=bool) for k in dict.fromkeys(self.kinds)}
+        self.of_latin, self.known = np.zeros(SLOTS, dtype=bool), np.zeros(SLOTS, dtype=bool)
         for e, g in enumerate(self.grams):
+            self.known[g] = True
+            if e == self.latin:
+                self.of_latin[g] = True
+                continue
+            self.masks[self.kinds[e]][g] = True
             for s in g.tolist():
                 self.postings[s].append(e)
-                if e != self.latin:
-                    self.of_kind[s].add(self.kinds[e])
-        self.known = np.zeros(SLOTS, dtype=bool)
-        self.known[list(self.postings)] = True
         self.weights: np.ndarray | None = None
 
     def weigh(self, counts: dict[int, int], total: int) -> None:
         """Weight of a gram: log of all grams over its own; grams of no exemplar have the mean weight of rare ones."""
         top = np.log(max(2, total))
         w = np.full(SLOTS, min(top, 9.0), dtype=np.float32)
-        for s in self.postings:
+        for s in np.flatnonzero(self.known).tolist():
             w[s] = max(0.3, np.log(max(2, total) / (1 + counts.get(s, 0))))
         w = np.minimum(w, 9.0)
         self.weights = w
@@ -336,30 +339,31 @@ class Index:
         at, slots = grams(_points(window))
         if not len(slots):
             return None
-        w = self.weights
-        whole = float(w[slots].sum())
+        weight = self.weights[slots]
+        whole = float(weight.sum())
+        if float(weight[self.known[slots]].sum()) < LOOK * whole:  # all together cover less than any one must
+            return None
+        if float(weight[self.of_latin[slots]].sum()) >= LATIN_COVERED * whole and len(slots) >= 12:
+            return self.kinds[self.latin]
+        kinds = {k: float(weight[m[slots]].sum()) for k, m in self.masks.items()}
+        if sum(kinds.values()) < COVERED * whole:
+            return None
         by: dict[int, float] = defaultdict(float)
         own: dict[int, float] = defaultdict(float)
-        kinds: dict[str, float] = defaultdict(float)
-        different: Counter = Counter()
         seen: set[int] = set()
-        for s in slots.tolist():
+        for s, x in zip(slots.tolist(), weight.tolist()):
             for e in self.postings.get(s, ()):
-                by[e] += float(w[s])
+                by[e] += x
                 if s not in seen:
-                    own[e] += float(w[s])
-            for k in self.of_kind.get(s, ()):
-                kinds[k] += float(w[s])
-                different[k] += s not in seen
+                    own[e] += x
             seen.add(s)
-        if by.get(self.latin, 0.0) >= LATIN_COVERED * whole and len(slots) >= 12:
-            return self.kinds[self.latin]
         for e, covered in sorted(by.items(), key=lambda x: -x[1]):
             if covered < COVERED * whole:
                 break
-            if e != self.latin and own[e] >= HELD * self.totals[e]:
+            if own[e] >= HELD * self.totals[e]:
                 return self.kinds[e]
-        return next((k for k, covered in sorted(kinds.items(), key=lambda x: -x[1]) if covered >= TOGETHER * whole and different[k] >= LEAST_GRAMS), None)
+        joint = [k for k, covered in sorted(kinds.items(), key=lambda x: -x[1]) if covered >= TOGETHER * whole]
+        return next((k for k in joint if len(np.unique(slots[self.masks[k][slots]])) >= LEAST_GRAMS), None)
 
 
 class _Count:
@@ -390,18 +394,31 @@ class _Judge:
         w, known = self.index.weights, self.index.known
         opener = np.zeros(TOP, dtype=bool)
         opener[[ord(c) for c in self.index.openers]] = True
+        varies, ends = np.zeros(TOP, dtype=bool), np.zeros(TOP, dtype=bool)
+        varies[0x30:0x3A] = True  # numbers, and what the consistent form drops inside words
+        varies[[ord(c) for c in INVISIBLE]] = True
+        ends[[ord(c) for c in "。！？!?；;\n"]] = True
         for b in batches:
             ids = b.column(0).to_pylist()
             p = points_of(b.column(1))
             n = len(p.starts) - 1
             if n == 0:
                 continue
-            at, slots = grams(_spaced(p))
+            spaced = _spaced(p)
+            at, slots = grams(spaced)
             text = np.searchsorted(p.starts[1:] + np.arange(n), at, "right")
-            weight = w[slots]
-            whole = np.bincount(text, weights=weight, minlength=n)
-            covered = np.bincount(text, weights=weight * known[slots], minlength=n)
-            look = (covered >= LOOK * whole * 0.7) & (whole > 0) | (p.counts(opener[p.points]) > 0)
+            weight, hit = w[slots], w[slots] * known[slots]
+            whole, covered = (np.bincount(text, weights=x, minlength=n) for x in (weight, hit))
+            varied = (p.counts(varies[p.points]) > 0) | (p.counts(p.points == 0x27) > 1)
+            look = (covered >= np.where(varied, LOOK_VARIED, LOOK) * whole) & (whole > 0) | (p.counts(opener[p.points]) > 0)
+            end = ends[spaced]
+            begins = np.flatnonzero(~end & np.concatenate(([True], end[:-1])))  # of the sentence windows
+            if len(begins):
+                window = np.searchsorted(begins, at, "right") - 1
+                of_whole, of_covered = (np.bincount(window, weights=x, minlength=len(begins)) for x in (weight, hit))
+                owner = np.searchsorted(p.starts[1:] + np.arange(n), begins, "right")
+                long = np.diff(np.append(begins, len(spaced))) * 2 >= np.diff(p.starts)[owner]
+                look[owner[long & (of_covered >= LOOK * of_whole) & (of_whole > 0)]] = True
             rows = []
             for k in np.flatnonzero(look):
                 x = p.texts[int(k)].as_py()
