@@ -6,4 +6,4 @@ import importlib
 
 
 def registries() -> list:
-    return [importlib.import_module(f"inkwell.plans.{m}").R for m in ("corpus_queries", "mask_queries", "style_queries", "relational_queries", "source_queries", "catalogue_queries")]
+    return [importlib.import_module(f"inkwell.plans.{m}").R for m in ("corpus_queries", "mask_queries", "style_queries", "relational_queries", "source_queries", "catalogue_queries", "report_queries")]
