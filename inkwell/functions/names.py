@@ -59,7 +59,7 @@ def query_value(url: Column | str, key: str) -> Column:
 
 def declarations(style: Column | str) -> Column:
     """property -> value of a style attribute, lower-cased names, the last of a name wins; null is an empty map."""
-    parts = F.filter(F.transform(F.split(F.coalesce(col(style), F.lit("")), ";"), F.trim), lambda x: x.rlike("^[^:]+:.*\\S"))
+    parts = F.filter(F.transform(F.split(F.coalesce(col(style), F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x.rlike("^[^:]+:.*\\S"))
     pairs = F.transform(parts, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]+:", "")).alias("v")))
     names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"]))
@@ -67,10 +67,10 @@ def declarations(style: Column | str) -> Column:
 
 def unknown_fields(c: Column | str, allowed: list[str]) -> Column:
     """The names of a comma list that are not allowed, in order, each once."""
-    names = F.filter(F.transform(F.split(col(c), ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(col(c), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_except(names, F.array(*[F.lit(a) for a in allowed]))
 
 
 def distinct_filled(c: Column | str) -> Column:
     """The different values of an array that are neither null nor blank, in order."""
-    return F.array_distinct(F.filter(F.transform(col(c), F.trim), lambda x: F.coalesce(x != "", F.lit(False))))
+    return F.array_distinct(F.filter(F.transform(col(c), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False))))

@@ -51,14 +51,14 @@ def unexpected_languages(spark, d):
     return C.unexpected_features(table(spark, d, "documents"), "lang", ["zh", "en"])
 
 
-GRAMS_SQL = "SELECT DISTINCT {k} substr(s, i, 8) AS gram FROM (SELECT {k} s, unnest(range(1, length(s) - 6)) AS i FROM (SELECT {k} regexp_replace({t}, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS s FROM {f}) WHERE length(s) >= 8)"
+GRAMS_SQL = "SELECT DISTINCT {k} substr(s, i, 4) AS gram FROM (SELECT {k} s, unnest(range(1, length(s) - 2)) AS i FROM (SELECT {k} regexp_replace({t}, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS s FROM {f}) WHERE length(s) >= 4)"
 
 
 @R.query("introduced_grams", f"WITH c AS ({GRAMS_SQL.format(k='book_id,', t='title', f='chapters')}), r AS ({GRAMS_SQL.format(k='', t='title', f='documents')}), i AS ({GRAMS_SQL.format(k='book_id,', t='title', f='books')}) SELECT book_id, gram FROM c WHERE gram IN (SELECT gram FROM r) AND NOT EXISTS (SELECT 1 FROM i WHERE i.book_id = c.book_id AND i.gram = c.gram)")
 def introduced_grams(spark, d):
-    """Runs of eight characters of chapter titles that some document's title has and the book's own title has not."""
+    """Runs of four characters of chapter titles that some document's title has and the book's own title has not."""
     docs = table(spark, d, "documents").select("title")
-    return C.introduced_grams(table(spark, d, "chapters"), docs, table(spark, d, "books"), "book_id", "title")
+    return C.introduced_grams(table(spark, d, "chapters"), docs, table(spark, d, "books"), "book_id", "title", 4)
 
 
 @R.query("lost_terms", "WITH g AS (SELECT DISTINCT target FROM glossary WHERE length(target) > 0), s AS (SELECT entry_id, array_to_string(zh, chr(10)) AS zh, note FROM sentence_translations) SELECT entry_id, target FROM s, g WHERE contains(zh, target) AND NOT coalesce(contains(note, target), false)")
@@ -75,10 +75,10 @@ def repeated_openings(spark, d):
     return C.repeated_openings(table(spark, d, "chapters"), "book_id", "chapter_id", "paragraphs")
 
 
-@R.query("blank_gaps", "WITH p AS (SELECT chapter_id, k - 1 AS pos, paragraphs[k] AS l FROM (SELECT chapter_id, paragraphs, unnest(range(1, len(paragraphs) + 1)) AS k FROM chapters)), f AS (SELECT chapter_id, pos, lead(pos) OVER (PARTITION BY chapter_id ORDER BY pos) AS n FROM p WHERE trim(l) <> '') SELECT chapter_id, pos, n - pos - 1 AS blanks FROM f WHERE n - pos > 1")
+@R.query("blank_gaps", "WITH p AS (SELECT doc_id, k - 1 AS pos, l[k] AS l FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))), f AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM p WHERE trim(l) <> '') SELECT doc_id, pos, n - pos - 1 AS blanks FROM f WHERE n - pos > 1")
 def blank_gaps(spark, d):
-    """Paragraphs with nothing but blank ones before the next."""
-    return C.blank_gaps(table(spark, d, "chapters"), "chapter_id", "paragraphs")
+    """Lines with nothing but blank ones before the next."""
+    return C.blank_gaps(table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines")), "doc_id", "lines")
 
 
 @R.query("damage_signals", "WITH p AS (SELECT unnest(paragraphs) AS t FROM chapters), s AS (" + " UNION ALL ".join(f"SELECT '{k}' AS signal FROM p WHERE regexp_matches(t, '{v}')" for k, v in N.SIGNALS.items()) + ") SELECT signal, count(*) AS paragraphs FROM s GROUP BY 1")
