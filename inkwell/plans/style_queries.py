@@ -43,13 +43,65 @@ def flow_metrics(spark, d):
     return S.flow_metrics(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _white(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_VIEWS_SQL = f"""d AS (SELECT doc_id, text AS t, {han('text')} AS han, list_filter(list_transform(string_split_regex(text, '{S.LINE_END}'), lambda x: regexp_replace(x, '^{S.WHITE}+|{S.WHITE}+$', '', 'g')), lambda x: x <> '') AS lines,
+ list_filter(list_transform(string_split_regex(text, '{S.ENDS}'), lambda x: {han('x')}), lambda n: n > 0) AS pieces, regexp_extract_all(text, '[{MARKS_CLASS}]') AS marks, regexp_extract_all(text, '[{S.SPEECH}]') AS speech,
+ regexp_extract_all(text, '{S.WORD_PATTERN}') AS words, regexp_extract_all(text, '[{FC}]') AS chars, regexp_replace(text, '[^一-鿿]', '', 'g') AS only_han FROM documents WHERE text IS NOT NULL),
+p AS (SELECT *, list_transform(lines, lambda x: {han('x')}) AS line_han, len(list_filter(lines, lambda x: regexp_matches(x, '^[{_white(S.OPENING)}]'))) AS spoken, list_transform(regexp_extract_all(only_han, '某+'), lambda x: length(x)) AS runs, list_transform(list_filter(string_split_regex(only_han, '某+'), lambda x: x <> ''), lambda x: length(x)) AS gaps FROM d),
+g(word, grp) AS (VALUES {', '.join(f"('{w}', '{k}')" for w, k in S.WORD_GROUP.items())})"""
+
+
+def _interval(name: str, value: str, edges: tuple[int, ...]) -> str:
+    return f"'{name}:' || CASE " + " ".join(f"WHEN {value} <= {e} THEN 'le_{e}'" for e in edges) + f" ELSE 'gt_{edges[-1]}' END"
+
+
+def _tokens(prefix: str, items: str) -> str:
+    return f"SELECT doc_id, '{prefix}' || x AS feature, 1.0::DOUBLE AS v FROM (SELECT doc_id, unnest({items}) AS x FROM p)"
+
+
+def _bucket(name: str, value: str, edges: tuple[int, ...], where: str = "true") -> str:
+    return f"SELECT doc_id, {_interval(name, value, edges)}, 1.0::DOUBLE FROM p WHERE {where}"
+
+
+def _buckets(name: str, items: str, edges: tuple[int, ...]) -> str:
+    return f"SELECT doc_id, {_interval(name, 'x', edges)}, 1.0::DOUBLE FROM (SELECT doc_id, unnest({items}) AS x FROM p)"
+
+
+def _number(name: str, value: str, where: str = "true") -> str:
+    return f"SELECT doc_id, '{name}' AS feature, ({value})::DOUBLE AS v FROM p WHERE {where}"
+
+
+_MARKS_SQL = [
+    _tokens("punc:", "marks"), _tokens("dialogue_mark:", "speech"), _bucket("dialogue_line_ratio", "100.0 * spoken / greatest(len(lines), 1)", (5, 15, 30, 50, 75)), _bucket("quote_count", "len(speech)", (2, 6, 12, 24, 48)),
+    _bucket("colon_count", "length(t) - length(replace(replace(t, '：', ''), ':', ''))", (1, 3, 6, 12, 24)), _bucket("ellipsis_count", "length(t) - length(replace(t, '…', ''))", (1, 2, 4, 8, 16)),
+]
+_LENGTHS_SQL = [
+    _bucket("paragraph_count", "len(lines)", (1, 2, 4, 8, 16, 32)), _bucket("sentence_count", "len(pieces)", (3, 6, 10, 16, 24, 40)),
+    _bucket("avg_sentence_cjk", "list_avg(pieces)", (12, 20, 32, 48, 72, 110), "len(pieces) > 0"), _buckets("sentence_cjk", "pieces", (8, 16, 28, 45, 70, 110, 180)),
+    _bucket("avg_paragraph_cjk", "list_avg(line_han)", (40, 80, 140, 220, 360, 600), "len(lines) > 0"), _buckets("paragraph_cjk", "line_han", (30, 70, 120, 200, 340, 560, 900)),
+]
+_CHARS_SQL = [_tokens("function_char:", "chars"), _bucket("function_ratio", "100.0 * len(chars) / greatest(han, 1)", (20, 30, 40, 50, 60, 70))]
+_WORDS_SQL = [
+    _tokens("function_word:", "words"), "SELECT doc_id, 'function_word_group:' || grp, 1.0::DOUBLE FROM (SELECT doc_id, unnest(words) AS word FROM p) JOIN g USING (word)",
+    _bucket("function_word_ratio", "1000.0 * len(words) / greatest(han, 1)", (2, 5, 10, 20, 35, 55, 80, 120)), _bucket("function_word_diversity", "len(list_distinct(words))", (2, 4, 8, 12, 18, 26, 36, 50)),
+]
+_MASKS_SQL = [
+    _number("cjk_count", "han"), _number("mask_fraction", "coalesce(list_sum(runs), 0) / greatest(han, 1)"), _number("run_count_per_1k", "1000.0 * len(runs) / greatest(han, 1)"),
+    *[q for k in ("run", "gap") for q in (_number(f"{k}_length_mean", f"list_avg({k}s)", f"len({k}s) > 0"), _number(f"{k}_length_max", f"list_max({k}s)", f"len({k}s) > 0"))],
+]
+_FAMILY_SQL = {"punctuation_dialogue": _MARKS_SQL, "length_shape": _LENGTHS_SQL, "function_words": _WORDS_SQL, "combined_rich_function_words": [*_MARKS_SQL, *_LENGTHS_SQL, *_CHARS_SQL, *_WORDS_SQL], "mask_topology": _MASKS_SQL}
+
 for _family in ("punctuation_dialogue", "length_shape", "function_words", "combined_rich_function_words", "mask_topology", "sentence_rhythm", "function_grammar", "paragraph_discourse"):
 
     def _one(spark, d, family=_family):
         """Feature counts of the corpus by family: documents with each feature, and its total."""
         return S.feature_counts(table(spark, d, "documents"), "doc_id", "text", family).groupBy("feature").agg(F.count("*").alias("documents"), F.round(F.sum("value"), 6).alias("total"))
 
-    R.query(f"features_{_family}")(_one)
+    _sql = f"WITH {_VIEWS_SQL}, f(doc_id, feature, v) AS ({' UNION ALL '.join(_FAMILY_SQL[_family])}) SELECT feature, count(DISTINCT doc_id) AS documents, round(sum(v), 6) AS total FROM f GROUP BY 1" if _family in _FAMILY_SQL else None
+    R.query(f"features_{_family}", _sql)(_one)
 
 
 @R.query("char_ngram_totals", "WITH s AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\x0B\\f\\x{3000}\\x{a0}\\x{2003}\\x{2009}\\x{202f}\\x{85}]+', '', 'g') AS s FROM documents WHERE text IS NOT NULL) SELECT 2::BIGINT AS n, count(DISTINCT g) AS grams, count(*) AS total FROM (SELECT substr(s, i, 2) AS g FROM (SELECT s, unnest(range(1, length(s))) AS i FROM s))")
