@@ -17,7 +17,8 @@ decoding marks a paragraph as garbled and as not restorable.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from codecs import charmap_decode
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import blake2b
@@ -64,15 +65,39 @@ def _byte_table(codec: str) -> tuple[dict[int, int], list[str]]:
 def misread(text: str, right: str, wrong: str) -> str | None:
     """What text written in `right` looks like when read as `wrong`; None if that is impossible."""
     try:
-        data = text.encode(right)
-        if wrong in WRONG_BYTES:
-            chars = _byte_table(wrong)[1]
-            return "".join(chars[b] for b in data)
+        return _misread_bytes(text.encode(right), wrong)
+    except UnicodeEncodeError:
+        return None
+
+
+def _misread_bytes(data: bytes, wrong: str) -> str | None:
+    if wrong in WRONG_BYTES:
+        return charmap_decode(data, "strict", _byte_string(wrong))[0]
+    try:
         return data.decode(wrong)
-    except (UnicodeEncodeError, UnicodeDecodeError):
+    except UnicodeDecodeError:
         return None
 
 
+@lru_cache(maxsize=None)
+def _byte_string(codec: str) -> str:
+    return "".join(_byte_table(codec)[1])
+
+
+class _Back(dict):
+    """Code point -> the byte that a one-byte encoding reads as it, as a code point; 0 for what it cannot have produced."""
+
+    def __init__(self, codec: str) -> None:
+        super().__init__(_byte_table(codec)[0])
+
+    def __missing__(self, c: int) -> int:
+        self[c] = c if c < 128 else 0
+        return self[c]
+
+
+_back = lru_cache(maxsize=None)(_Back)
+
+
 TRANSFORMS = [(r, w) for r in RIGHT for w in (*WRONG_BYTES, *WRONG_WIDE) if r != w and not (r == "cp1252" and w not in ("mac-roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866"))]
 
 
@@ -92,6 +117,7 @@ class Model:
     def __post_init__(self) -> None:
         self.usual = self.logp if self.usual is None else np.maximum(self.usual, self.logp)
         self.tables: dict[tuple[str, str], np.ndarray] = {}
+        self.summed: tuple[str | None, np.ndarray] = (None, np.zeros(1))
 
     def __getstate__(self) -> dict:
         at = np.flatnonzero((self.logp > self.logp.min()) | (self.usual > self.usual.min()))
@@ -101,7 +127,7 @@ class Model:
     def __setstate__(self, s: dict) -> None:
         self.logp, self.usual = (np.full(TOP, low, dtype=np.float32) for low in s["low"])
         self.logp[s["at"]], self.usual[s["at"]] = s["p"], s["u"]
-        self.votes, self.tables = s["votes"], {}
+        self.votes, self.tables, self.summed = s["votes"], {}, (None, np.zeros(1))
 
     def gains(self, right: str, wrong: str) -> np.ndarray:
         if (right, wrong) not in self.tables:
@@ -115,6 +141,12 @@ class Model:
     def score(self, text: str) -> float:
         return float(self.logp[_points(text)].sum())
 
+    def part(self, text: str, start: int, stop: int) -> float:
+        """The score of text[start:stop]; sums of the text last asked for are kept."""
+        if self.summed[0] is not text:
+            self.summed = (text, np.concatenate(([0.0], np.cumsum(self.logp[_points(text)], dtype=np.float64))))
+        return float(self.summed[1][stop] - self.summed[1][start])
+
     def plausible(self, text: str) -> bool:
         return float(self.usual[_points(text)].sum()) / len(text) >= PLAUSIBLE
 
@@ -239,11 +271,10 @@ def suspects(p, model: Model) -> Iterator[tuple[int, set[tuple[str, str]]]]:
 # ---- undoing ---------------------------------------------------------------------
 
 
-def _to_bytes(text: str, wrong: str) -> tuple[bytes, list[int]]:
+def _to_bytes(text: str, wrong: str) -> tuple[bytes, Sequence[int]]:
     """The bytes that `wrong` was given, with 0x00 for what it cannot have produced, and the text position of each byte."""
     if wrong in WRONG_BYTES:
-        back, _ = _byte_table(wrong)
-        return bytes([back.get(ord(c), 0 if ord(c) > 127 else ord(c)) for c in text]), list(range(len(text)))
+        return text.translate(_back(wrong)).encode("latin-1"), range(len(text))
     out, at = bytearray(), []
     for i, c in enumerate(text):
         try:
@@ -318,8 +349,8 @@ def undo(text: str, right: str, wrong: str, model: Model, known: bool = False) -
         if LOST in plain:
             out.append((start, stop, plain, 1e3, True))
             continue
-        s = model.score(plain)
-        out.append((start, stop, plain, s - model.score(text[start:stop]), model.plausible(plain) and (len(plain) >= (1 if known else 3) or right == "utf-8")))
+        gain = model.score(plain) - model.part(text, start, stop)
+        out.append((start, stop, plain, gain, gain > 0 and (len(plain) >= (1 if known else 3) or right == "utf-8") and model.plausible(plain)))
     return out
 
 
@@ -460,21 +491,35 @@ def _stretches(cols: dict[str, list]) -> Iterator[tuple]:
 def _misread_forms(cols: dict[str, list]) -> Iterator[tuple]:
     """A clean stretch as every transformation would leave it, hashed with its place, where a garbled stretch of that length stands."""
     for key, size, at, x, lengths in zip(*(cols[c] for c in ("key", "size", "at", "x", "lengths"))):
-        most = {}
-        for right in RIGHT:
-            try:
-                most[right] = len(x.encode(right))
-            except UnicodeEncodeError:
-                most[right] = 0
-        for k, (right, wrong) in enumerate(TRANSFORMS):
-            n = most[right]  # bytes; a character takes one, or up to four of an encoding of several
-            if not n or not (n in lengths if wrong in WRONG_BYTES else any(m <= n <= 4 * m for m in lengths)):
-                continue
-            if (g := (_short if len(x) <= 2 else misread)(x, right, wrong)) is not None and g != x and len(g) in lengths:
+        if len(x) <= 2:
+            forms = _short_forms(x)
+        else:
+            forms = _forms(x, lengths)
+        for k, g in forms:
+            if len(g) in lengths:
                 yield _place(key, size, at, g), k
 
 
-_short = lru_cache(maxsize=50_000)(misread)
+_NUMBERED = {r: [(k, w) for k, (of, w) in enumerate(TRANSFORMS) if of == r] for r in RIGHT}
+
+
+def _forms(x: str, lengths: list[int] | None) -> Iterator[tuple[int, str]]:
+    """(transformation, misread form) of a stretch, of the lengths asked for."""
+    for right, listed in _NUMBERED.items():
+        try:
+            data = x.encode(right)
+        except UnicodeEncodeError:
+            continue
+        n = len(data)  # a character takes one byte, or up to four of an encoding of several
+        one, wide = lengths is None or n in lengths, lengths is None or any(m <= n <= 4 * m for m in lengths)
+        for k, wrong in listed:
+            if (one if wrong in WRONG_BYTES else wide) and (g := _misread_bytes(data, wrong)) is not None and g != x:
+                yield k, g
+
+
+@lru_cache(maxsize=50_000)
+def _short_forms(x: str) -> list[tuple[int, str]]:
+    return list(_forms(x, None))
 
 
 def _place(*parts: object) -> int:
