@@ -65,3 +65,12 @@ def test_garbled_paragraphs_are_left_out(spark):
     rows[7] = (7, "好", ["他慢慢ＡＢ放下茶杯", "看着�ＡＢ窗外"], 1, "x", "y")
     got = {(r["id"], r["para_no"]) for r in L.variants(spark.createDataFrame(rows, DDL)).collect()}
     assert got == {(7, 0)}
+
+
+def test_frequency_decides_where_no_form_is_given():
+    often_composed, often_apart = counts_of("é" * 9 + "é"), counts_of("é" + "é" * 9)
+    assert L.look_classes(often_composed, False, None)["é"] == "é"
+    assert L.look_classes(often_apart, False, None)["é"] == "é"
+    assert L.look_classes(often_apart, False)["é"] == "é" and "é" not in L.look_classes(often_apart, False)  # the form overrules it
+    radicals, ideographs = counts_of("⽔" * 9 + "水"), counts_of("⽔" + "水" * 9)
+    assert L.look_classes(radicals, False, None)["水"] == "⽔" and L.look_classes(ideographs, False, None)["⽔"] == "水"
