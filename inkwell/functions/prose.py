@@ -231,9 +231,12 @@ RULES: list[tuple[str, Callable[[str], str], re.Pattern]] = [
 
 
 def normalise(text: str, counts: Counter | None = None, spaces: bool = True) -> str:
-    """The text after all rules, in order, until nothing changes; counts gets the rules that changed it."""
-    for _ in range(4):
-        before = text
+    """The text after all rules, in order, until nothing changes; counts gets the rules that changed it.
+
+    Should rules undo each other, the least of the texts that they lead through again and again is taken."""
+    seen: dict[str, int] = {}
+    while text not in seen:
+        seen[text] = len(seen)
         for name, rule, trigger in RULES:
             if name == "mixed_space" and not spaces or trigger.search(text) is None:
                 continue
@@ -241,9 +244,7 @@ def normalise(text: str, counts: Counter | None = None, spaces: bool = True) ->
             if done != text and counts is not None:
                 counts[name] += 1
             text = done
-        if text == before:
-            break
-    return text
+    return min(list(seen)[seen[text] :])
 
 
 def chapter_ordinal(text: str) -> str:
