@@ -376,3 +376,21 @@ def test_glossary_terms_of_any_number_of_words(spark):
     got = {tuple(r) for r in J.glossary_hits(texts, terms, "id", "text").collect()}
     assert got == {(1, "晚饭后很久", 1), (1, "灯", 2), (2, "夜巡", 1), (3, "咖啡馆", 1), (3, "灯", 1)}
     assert J.glossary_hits(texts, terms.limit(0), "id", "text").count() == 0
+
+
+def test_complement_nb_is_the_fitted_one_at_any_number_of_labels(spark, monkeypatch):
+    rows = [(k, f"{k % 7}", f"{'春夏秋冬风雨雷'[k % 7]}来了，{'山河湖海'[k % 4]}边有{k // 5}人" if k % 11 else "") for k in range(140)] + [(150, None, "无名"), (151, "1", None)]
+    df = spark.createDataFrame(rows, "id long, author string, text string")
+    train, rest = df.where("id % 3 > 0"), df.where("id % 3 = 0").withColumn("note", F.when(F.col("id") % 2 == 0, "双"))
+    full = df.where("author is not null and text is not null").withColumn("grams", L.gram_column("text"))
+    want = {r["id"]: r["pred"] for r in L.predict(*L.fit(full.where("id % 3 > 0"), "author", features=1 << 8), full.where("id % 3 = 0")).collect()}
+    for labels, docs in ((2048, 4096), (2, 5)):
+        with monkeypatch.context() as m:
+            m.setattr(L, "LABELS", labels)
+            m.setattr(L, "DOCS", docs)
+            got = L.complement_nb(train, rest.where("author is not null"), "author", "text", 1 << 8)
+        assert got.columns == ["id", "author", "note", "pred"] and got.schema["id"].dataType == df.schema["id"].dataType
+        assert {r["id"]: r["pred"] for r in got.collect()} == want
+    many = spark.range(33_000).selectExpr("cast(id as string) author", "md5(cast(id as string)) text")  # a matrix of labels x features would have over 2 ** 31 cells
+    some = L.complement_nb(many, many.where("author in ('7', '12345', '32999')"), "author", "text")
+    assert all(r["pred"] == r["author"] for r in some.collect()) and some.count() == 3
