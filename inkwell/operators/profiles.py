@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from inkwell.functions.arrow import arrow_schema, as_batch
+from inkwell.functions.arrow import arrow_schema, as_batch, one_row_batches
+from inkwell.session import cut
 
 #: Most features that blocks of dense vectors are made of.
 DENSE = 8192
+#: Texts and authors of a block.
+BLOCK = 8192
 
 
 def fit_profiles(counts: DataFrame, top: int) -> DataFrame:
@@ -46,59 +49,108 @@ def predict(scores: DataFrame, id_col: str = "id", digits: int = 9) -> DataFrame
 
 
 class _Stack:
-    """Rows (key, features, values) stacked into blocks of dense vectors."""
+    """Rows (key, features, values) stacked into blocks of dense vectors; a feature's values are added up, without values it counts."""
 
-    def __init__(self, at: dict[str, int], size: int, ddl: str) -> None:
-        self.at, self.size, self.schema = at, size, arrow_schema(ddl)
+    def __init__(self, at: dict[str, int], size: int, kind: str, ddl: str) -> None:
+        self.at, self.size, self.kind, self.schema = at, size, kind, arrow_schema(ddl)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows = [], []
+        width = len(self.at)
+        keys: list[str] = []
+        cells: list[int] = []
+        values: list[float] = []
         for b in batches:
-            for key, features, values in zip(*(b.column(j).to_pylist() for j in range(3))):
-                v = np.zeros(len(self.at))
-                for f, x in zip(features, values):
-                    if f in self.at:
-                        v[self.at[f]] = x
+            columns = [c.to_pylist() for c in b.columns]
+            for k, (key, features) in enumerate(zip(*columns[:2])):
+                base = len(keys) * width
+                found = [self.at.get(f) for f in features]
+                cells += [base + j for j in found if j is not None]
+                values += [1.0] * (len(found) - found.count(None)) if len(columns) < 3 else [x for x, j in zip(columns[2][k], found) if j is not None]
                 keys.append(key)
-                rows.append(v)
                 if len(keys) == self.size:
-                    yield as_batch([(keys, np.stack(rows).tobytes())], self.schema, 2)
-                    keys, rows = [], []
+                    yield self._batch(keys, cells, values)
+                    keys, cells, values = [], [], []
         if keys:
-            yield as_batch([(keys, np.stack(rows).tobytes())], self.schema, 2)
+            yield self._batch(keys, cells, values)
+
+    def _batch(self, keys: list[str], cells: list[int], values: list[float]) -> pa.RecordBatch:
+        dense = np.bincount(np.array(cells, dtype=np.int64), np.array(values, dtype=float), len(keys) * len(self.at))
+        return as_batch([(keys, dense.astype(self.kind).tobytes())], self.schema, 2)
 
 
 class _Best:
-    """The best author of a block for every text of a block."""
+    """The best author of the blocks that a block of texts meets one after the other; ties go to the greater name.
+
+    Single precision finds the authors within NEAR of a text's best, double precision decides."""
 
-    def __init__(self, width: int, digits: int, ddl: str) -> None:
-        self.width, self.digits, self.schema = width, digits, arrow_schema(ddl)
+    NEAR, ROWS = 5e-5, 256
+
+    def __init__(self, idf: np.ndarray, digits: int, ddl: str) -> None:
+        self.idf, self.digits, self.schema = idf, digits, arrow_schema(ddl)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, held = len(self.idf), None
+        ids, x, score, best = [], np.zeros((0, width)), np.zeros(0), []
         for b in batches:
-            for ids, x, authors, y in zip(*(b.column(j).to_pylist() for j in range(4))):
-                x, y = (np.frombuffer(v).reshape(-1, self.width) for v in (x, y))
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
+            for i in range(b.num_rows):
+                if held != b.column(0)[i].as_py():
+                    if ids:
+                        yield self._rows(ids, score, best)
+                    held, ids = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                    x = np.frombuffer(b.column(2)[i].as_py(), np.float32).reshape(-1, width) * self.idf
+                    norm = np.linalg.norm(x, axis=1, keepdims=True)
+                    x = x / np.where(norm > 0, norm, 1)
+                    score, best = np.zeros(len(ids)), [""] * len(ids)
+                authors = b.column(3)[i].as_py()
                 order = sorted(range(len(authors)), key=lambda k: authors[k])
-                s = np.round(x / np.where(norm > 0, norm, 1) @ y[order].T, self.digits)
-                last = s.shape[1] - 1 - s[:, ::-1].argmax(axis=1)  # ties go to the greater name
-                yield as_batch([(i, authors[order[k]], float(s[r, k])) for r, (i, k) in enumerate(zip(ids, last)) if s[r, k] > 0], self.schema, 3)
+                self._meet(x, np.frombuffer(b.column(4)[i].as_py()).reshape(-1, width)[order], [authors[k] for k in order], score, best)
+        if ids:
+            yield self._rows(ids, score, best)
+
+    def _meet(self, x: np.ndarray, y: np.ndarray, authors: list[str], score: np.ndarray, best: list[str]) -> None:
+        short, some = np.ascontiguousarray(y.T, dtype=np.float32), np.flatnonzero(x.any(axis=1))
+        for lo in range(0, len(some), self.ROWS):
+            own = some[lo : lo + self.ROWS]
+            s = x[own].astype(np.float32) @ short
+            top = s.max(axis=1)
+            r, c = np.nonzero(s >= (top - self.NEAR)[:, None])
+            exact = np.concatenate([np.einsum("ij,ij->i", x[own[r[k : k + 65536]]], y[c[k : k + 65536]]) for k in range(0, len(r), 65536)])
+            exact = np.round(exact, self.digits)
+            order = np.lexsort((c, exact, r))
+            last = order[np.append(np.diff(r[order]) > 0, True)]
+            for k, v, a in zip(own[r[last]].tolist(), exact[last].tolist(), c[last].tolist()):
+                if v > score[k] or v == score[k] > 0 and authors[a] > best[k]:
+                    score[k], best[k] = v, authors[a]
+
+    def _rows(self, ids: list[str], score: np.ndarray, best: list[str]) -> pa.RecordBatch:
+        return as_batch([(i, a, v) for i, a, v in zip(ids, best, score.tolist()) if v > 0], self.schema, 3)
+
+
+def best_author(counts: DataFrame, profiles: DataFrame, id_col: str = "id", digits: int = 9, block: int = BLOCK) -> DataFrame:
+    """What predict(score(...)) gives. With at most DENSE features, blocks of texts meet blocks of authors as dense vectors; with more, texts and profiles are joined on features."""
+    docs = counts.groupBy(F.col(id_col).cast("string").alias(id_col)).agg(F.collect_list("feature").alias("f"), F.collect_list(F.col("n").cast("double")).alias("v"))
+    return _nearest(docs, profiles, id_col, digits, block, lambda: counts)
 
 
-def best_author(counts: DataFrame, profiles: DataFrame, id_col: str = "id", digits: int = 9, block: int = 2048) -> DataFrame:
-    """What predict(score(...)) gives. With at most DENSE features, blocks of texts meet blocks of authors as dense vectors; with more, texts and profiles are joined on features."""
-    names = [r["feature"] for r in profiles.select("feature").distinct().limit(DENSE + 1).collect()]
-    if len(names) > DENSE:
-        return predict(score(counts, profiles, id_col), id_col, digits)
-    at = {f: k for k, f in enumerate(sorted(names))}
-    idf = profiles.groupBy("feature").agg(F.max("idf").alias("idf"))
-    docs = counts.join(idf, "feature").groupBy(id_col).agg(F.collect_list("feature").alias("f"), F.collect_list((F.col("n") * F.col("idf")).cast("double")).alias("v"))
+def best_author_of(docs: DataFrame, profiles: DataFrame, id_col: str = "id", digits: int = 9, block: int = BLOCK) -> DataFrame:
+    """best_author of texts (id, f): f holds a text's features as often as they occur, so texts are not taken apart and grouped again."""
+    counts = lambda: docs.select(id_col, F.explode("f").alias("feature")).groupBy(id_col, "feature").agg(F.count("*").alias("n"))
+    return _nearest(docs.select(F.col(id_col).cast("string").alias(id_col), "f"), profiles, id_col, digits, block, counts)
+
+
+def _nearest(docs: DataFrame, profiles: DataFrame, id_col: str, digits: int, block: int, counts: Callable[[], DataFrame]) -> DataFrame:
+    profiles = cut(profiles)
+    known = {r["feature"]: r["idf"] for r in profiles.groupBy("feature").agg(F.max("idf").alias("idf")).limit(DENSE + 1).collect()}
+    if len(known) > DENSE:
+        return predict(score(counts(), profiles, id_col), id_col, digits)
+    at = {f: k for k, f in enumerate(sorted(known))}
     people = profiles.groupBy("author").agg(F.collect_list("feature").alias("f"), F.collect_list("weight").alias("v"))
     ddl = "keys array<string>, data binary"
-    x = docs.select(F.col(id_col).cast("string"), "f", "v").mapInArrow(_Stack(at, block, ddl), ddl).toDF("i", "x")
-    y = people.select("author", "f", "v").mapInArrow(_Stack(at, block, ddl), ddl).toDF("a", "y")
+    x = cut(docs.mapInArrow(_Stack(at, block, "f4", ddl), ddl).select(F.expr("uuid()").alias("block"), "*"))
+    y = cut(people.mapInArrow(_Stack(at, block, "f8", ddl), ddl)).coalesce(1)  # so that a task meets all authors with a block before the next
     out = f"{id_col} string, author string, score double"
-    near = x.crossJoin(y).select("i", "x", "a", "y").mapInArrow(_Best(len(at), digits, out), out)
+    with one_row_batches(docs.sparkSession):
+        near = cut(x.crossJoin(y.toDF("a", "y")).mapInArrow(_Best(np.array([known[f] for f in at]), digits, out), out))
     return near.groupBy(id_col).agg(F.max(F.struct("score", "author")).alias("m")).select(id_col, F.col("m.author").alias("pred"), F.col("m.score").alias("score"))
 
 

@@ -120,10 +120,13 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY w DESC, featu
 prof AS (SELECT author, feature, w / sqrt(sum(w * w) OVER (PARTITION BY author)) AS weight, idf FROM kept)"""
 
 
-def _counts(spark, d):
+def _texts(spark, d):
     r = table(spark, d, "records").where("author is not null and title is not null").select("chunk_id", "author", "title", "split", "text").distinct()
-    r = r.withColumn("rid", F.md5(F.concat_ws("|", "chunk_id", "text")))
-    return S.char_counts(r, ["rid", "author", "title", "split"], "text", FC).withColumnRenamed("c", "feature")
+    return r.withColumn("rid", F.md5(F.concat_ws("|", "chunk_id", "text")))
+
+
+def _counts(spark, d):
+    return S.char_counts(_texts(spark, d), ["rid", "author", "title", "split"], "text", FC).withColumnRenamed("c", "feature")
 
 
 @R.query("author_profiles", f"WITH {COUNTS_SQL} SELECT author, feature, round(weight, 9) AS weight FROM prof")
@@ -139,9 +142,10 @@ p AS (SELECT rid, gold, title, split, max(ROW(round(dot / norm, 9), author)) AS
 
 
 def _predictions(spark, d):
-    c = _counts(spark, d)
-    rest = c.where("split <> 'train'").withColumn("id", F.concat_ws("\u0001", "rid", "author", "title", "split"))
-    got = P.best_author(rest.select("id", "feature", "n"), P.fit_profiles(c.where("split = 'train'"), 40))
+    r = _texts(spark, d).withColumn("kept", F.regexp_replace("text", f"[^{FC}]", "")).where("kept <> ''")
+    train = r.where("split = 'train'").select("author", F.explode(F.split("kept", "")).alias("feature"), F.lit(1).alias("n")).where("feature <> ''")
+    rest = r.where("split <> 'train'").groupBy(F.concat_ws("\u0001", "rid", "author", "title", "split").alias("id")).agg(F.split(F.array_join(F.collect_list("kept"), ""), "").alias("f"))
+    got = P.best_author_of(rest, P.fit_profiles(train, 40))
     part = F.split("id", "\u0001")
     return got.select(part[0].alias("rid"), part[1].alias("gold"), part[2].alias("title"), part[3].alias("split"), "pred", "score")
 

@@ -394,3 +394,19 @@ def test_complement_nb_is_the_fitted_one_at_any_number_of_labels(spark, monkeypa
     many = spark.range(33_000).selectExpr("cast(id as string) author", "md5(cast(id as string)) text")  # a matrix of labels x features would have over 2 ** 31 cells
     some = L.complement_nb(many, many.where("author in ('7', '12345', '32999')"), "author", "text")
     assert all(r["pred"] == r["author"] for r in some.collect()) and some.count() == 3
+
+
+def test_best_author_in_few_passes(spark):
+    rng = random.Random(5)
+    names, chars = [f"a{k:02}" for k in range(23)], "的一是在不了有和人这中为"
+    prof = spark.createDataFrame([(a, c, rng.random() + 0.01, 1.0 + chars.index(c) / 9) for a in names for c in rng.sample(chars, 4)], "author string, feature string, w double, idf double").selectExpr("author", "feature", "w / sqrt(sum(w * w) over (partition by author)) weight", "idf")
+    prof = prof.unionByName(prof.where("author = 'a03'").withColumn("author", F.lit("a99"))).localCheckpoint()  # ties go to the greater name
+    texts = [(f"t{k}", [rng.choice(chars + "x") for _ in range(rng.randrange(0, 9))]) for k in range(60)] + [("none", ["x"]), ("twice", ["的", "的", "一"])]
+    docs = spark.createDataFrame(texts, "id string, f array<string>")
+    counts = docs.select("id", F.explode("f").alias("feature")).groupBy("id", "feature").agg(F.count("*").alias("n"))
+    want = {tuple(r) for r in P.predict(P.score(counts, prof)).select("id", "pred", "score").collect()}
+    for block in (4, 8192):
+        assert {tuple(r) for r in P.best_author_of(docs, prof, block=block).select("id", "pred", "score").collect()} == want
+        assert {tuple(r) for r in P.best_author(counts, prof, block=block).select("id", "pred", "score").collect()} == want
+    met = P.best_author_of(docs, prof, block=4)._jdf.queryExecution().toString()
+    assert "Cartesian" not in met and "NestedLoop" not in met  # blocks meet once, and the result is a table
