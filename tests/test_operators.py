@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -53,6 +54,31 @@ def test_near_duplicates_against_all_pairs(spark):
     assert SI.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
 
 
+def _unlike(rng, n, length):
+    return [" ".join(f"w{rng.randrange(50_000)}" for _ in range(length)) for _ in range(n)]
+
+
+def _room(monkeypatch):
+    """Sizes of the tables that near duplicates cut from now on."""
+    sizes, cut = [], SI.cut
+
+    def counted(df, *args):
+        out = cut(df, *args)
+        sizes.append(sum(Path(f.removeprefix("file:")).stat().st_size for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(SI, "cut", counted)
+    return sizes
+
+
+def test_near_pairs_write_less_than_the_texts(spark, monkeypatch):
+    rows = list(enumerate(_unlike(random.Random(5), 300, 800)))
+    rows.append((900, rows[7][1] + " end"))
+    sizes = _room(monkeypatch)
+    assert [(r["a"], r["b"]) for r in SI.near_pairs(texts(spark, rows), "doc_id", "text").collect()] == [(7, 900)]
+    assert sum(sizes) < sum(len(t) for _, t in rows)
+
+
 def test_pair_similarity():
     a = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈剑号巨阙珠称夜光果珍李柰菜重芥姜海咸河淡鳞潜羽翔龙师火帝鸟官人皇"
     assert SI.pair_similarity(a, a)["reasons"] == ["equal"] and SI.pair_similarity("ab", "ab")["similarity"] == 1.0
