@@ -81,9 +81,9 @@ class _Stack:
 class _Best:
     """The best author of the blocks that a block of texts meets one after the other; ties go to the greater name.
 
-    Single precision finds the authors within NEAR of a text's best, double precision decides."""
+    Single precision finds the groups of GROUP authors, and in these the authors, within NEAR of a text's best, double precision decides."""
 
-    NEAR, ROWS = 5e-5, 256
+    NEAR, ROWS, AUTHORS, GROUP = 5e-5, 256, 1024, 32
 
     def __init__(self, idf: np.ndarray, digits: int, ddl: str) -> None:
         self.idf, self.digits, self.schema = idf, digits, arrow_schema(ddl)
@@ -108,19 +108,30 @@ class _Best:
             yield self._rows(ids, score, best)
 
     def _meet(self, x: np.ndarray, y: np.ndarray, authors: list[str], score: np.ndarray, best: list[str]) -> None:
-        short, some = np.ascontiguousarray(y.T, dtype=np.float32), np.flatnonzero(x.any(axis=1))
+        short, some = np.zeros((-(-len(y) // self.GROUP) * self.GROUP, y.shape[1]), dtype=np.float32), np.flatnonzero(x.any(axis=1))
+        short[: len(y)] = y
+        room = np.empty(self.AUTHORS * self.ROWS, dtype=np.float32)
         for lo in range(0, len(some), self.ROWS):
             own = some[lo : lo + self.ROWS]
-            s = x[own].astype(np.float32) @ short
-            top = s.max(axis=1)
-            r, c = np.nonzero(s >= (top - self.NEAR)[:, None])
-            exact = np.concatenate([np.einsum("ij,ij->i", x[own[r[k : k + 65536]]], y[c[k : k + 65536]]) for k in range(0, len(r), 65536)])
-            exact = np.round(exact, self.digits)
-            order = np.lexsort((c, exact, r))
-            last = order[np.append(np.diff(r[order]) > 0, True)]
-            for k, v, a in zip(own[r[last]].tolist(), exact[last].tolist(), c[last].tolist()):
-                if v > score[k] or v == score[k] > 0 and authors[a] > best[k]:
-                    score[k], best[k] = v, authors[a]
+            tall = np.ascontiguousarray(x[own].T, dtype=np.float32)
+            for at in range(0, len(short), self.AUTHORS):
+                near = short[at : at + self.AUTHORS]
+                s = np.matmul(near, tall, out=room[: len(near) * len(own)].reshape(len(near), -1)).reshape(-1, self.GROUP, len(own))
+                high = s.max(axis=1)
+                least = np.maximum(high.max(axis=0), score[own]) - self.NEAR  # what falls short of the blocks before is not looked at
+                group, r = np.nonzero(high >= least)
+                k, c = np.nonzero(s[group, :, r] >= least[r][:, None])
+                r, c = r[k], at + group[k] * self.GROUP + c
+                r, c = r[c < len(y)], c[c < len(y)]
+                if not len(r):
+                    continue
+                exact = np.concatenate([np.einsum("ij,ij->i", x[own[r[k : k + 65536]]], y[c[k : k + 65536]]) for k in range(0, len(r), 65536)])
+                exact = np.round(exact, self.digits)
+                order = np.lexsort((c, exact, r))
+                last = order[np.append(np.diff(r[order]) > 0, True)]
+                for k, v, a in zip(own[r[last]].tolist(), exact[last].tolist(), c[last].tolist()):
+                    if v > score[k] or v == score[k] > 0 and authors[a] > best[k]:
+                        score[k], best[k] = v, authors[a]
 
     def _rows(self, ids: list[str], score: np.ndarray, best: list[str]) -> pa.RecordBatch:
         return as_batch([(i, a, v) for i, a, v in zip(ids, best, score.tolist()) if v > 0], self.schema, 3)

@@ -8,6 +8,7 @@ from inkwell.functions import text as X
 from inkwell.operators import evaluation as E, features as S, profiles as P, statistics as T
 from inkwell.plans.corpus_queries import WS, han
 from inkwell.plans.registry import Registry, table
+from inkwell.session import cut
 
 R = Registry()
 
@@ -142,7 +143,8 @@ p AS (SELECT rid, gold, title, split, max(ROW(round(dot / norm, 9), author)) AS
 
 
 def _predictions(spark, d):
-    r = _texts(spark, d).withColumn("kept", F.regexp_replace("text", f"[^{FC}]", "")).where("kept <> ''")
+    kept = F.regexp_replace("text", f"[^{FC}]+", "").alias("kept")
+    r = cut(_texts(spark, d).select("rid", "author", "title", "split", kept)).where("kept <> ''")  # so that a text is searched once, for both splits
     train = r.where("split = 'train'").select("author", F.explode(F.split("kept", "")).alias("feature"), F.lit(1).alias("n")).where("feature <> ''")
     rest = r.where("split <> 'train'").groupBy(F.concat_ws("\u0001", "rid", "author", "title", "split").alias("id")).agg(F.split(F.array_join(F.collect_list("kept"), ""), "").alias("f"))
     got = P.best_author_of(rest, P.fit_profiles(train, 40))

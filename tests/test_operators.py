@@ -79,6 +79,23 @@ def test_near_pairs_write_less_than_the_texts(spark, monkeypatch):
     assert sum(sizes) < sum(len(t) for _, t in rows)
 
 
+def test_best_author_looks_at_near_ones_only(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x, y = unit(rng.random((300, 20))), unit(rng.random((1500, 20)))
+    y[:200] = x[:200]
+    y[700] = y[3]
+    names = [f"a{k:04}" for k in range(1500)]
+    best, score, found = P._Best(np.ones(20), 9, "id string, author string, score double"), np.zeros(300), [""] * 300
+    seen, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: seen.append(len(a)) or einsum(how, a, b))
+    for lo in range(0, 1500, 500):
+        best._meet(x, y[lo : lo + 500], names[lo : lo + 500], score, found)
+    exact = np.round(einsum("ij,kj->ik", x, y), 9)
+    assert np.allclose(score, exact.max(axis=1), atol=1e-9) and found == [max(n for n, v in zip(names, row) if v == row.max()) for row in exact]
+    assert found[3] == "a0700" and sum(seen) < 3 * 300
+
+
 def test_pair_similarity():
     a = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜金生丽水玉出昆冈剑号巨阙珠称夜光果珍李柰菜重芥姜海咸河淡鳞潜羽翔龙师火帝鸟官人皇"
     assert SI.pair_similarity(a, a)["reasons"] == ["equal"] and SI.pair_similarity("ab", "ab")["similarity"] == 1.0
