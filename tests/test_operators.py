@@ -79,6 +79,26 @@ def test_near_pairs_write_less_than_the_texts(spark, monkeypatch):
     assert sum(sizes) < sum(len(t) for _, t in rows)
 
 
+def test_near_duplicates_at_the_border_write_less_than_the_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = list(enumerate(_unlike(rng, 120, 1200)))
+    for i in range(40):  # each word changed costs five shingles, so similarity is 0.70 to 0.95
+        w = rows[i][1].split()
+        for k in range(0, 1200, 1200 // (6 + i)):
+            w[k] = "x"
+        rows.append((500 + i, " ".join(w)))
+    rows += [(600 + i, rows[7][1]) for i in range(5)]
+    sets = {i: set(SI.shingle_hashes(t)) for i, t in rows}
+    want = {(i, 500 + i) for i in range(40) if len(sets[i] & sets[500 + i]) >= 0.8 * len(sets[i] | sets[500 + i])}
+    assert 5 < len(want) < 40
+    sizes = _room(monkeypatch)
+    got = {r["id"]: (r["class_id"], r["links"]) for r in SI.near_duplicates(texts(spark, rows), "doc_id", "text").collect()}
+    least = {b: a for a, b in want} | {600 + i: 7 for i in range(5)}
+    linked = {x for p in want for x in p} | ({600 + i for i in range(5)} if (7, 507) in want else set())
+    assert got == {i: (least.get(i, i), int(i in linked)) for i, _ in rows}
+    assert sum(sizes) < 2 * sum(len(t) for _, t in rows)
+
+
 def test_best_author_looks_at_near_ones_only(spark, monkeypatch):
     rng = np.random.default_rng(2)
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
