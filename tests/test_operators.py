@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -99,6 +100,32 @@ def test_near_duplicates_at_the_border_write_less_than_the_texts(spark, monkeypa
     assert sum(sizes) < 2 * sum(len(t) for _, t in rows)
 
 
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("room", [1 << 21, 4000])  # whole groups in one place, and groups in blocks
+def test_near_duplicates_with_many_links_write_less_than_the_texts(spark, monkeypatch, room):
+    monkeypatch.setattr(SI, "ROOM", room, raising=False)
+    base = _unlike(random.Random(7), 60, 1200)
+    rows = [(10 * i + j, t + f" end {j}" * j) for i, t in enumerate(base) for j in range(7)]
+    rows += [(1000 + j, " ".join(base[5].split()[80 * j :] + base[6].split()[: 80 * j])) for j in range(1, 4)]  # a chain of links
+    sets = {i: set(SI.shingle_hashes(t)) for i, t in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = {(a, b) for a in sets for b in sets if a < b and near(a, b)}
+    assert {(50, 1001), (1001, 1002)} <= want and (50, 1003) not in want
+    sizes, before = _room(monkeypatch), _shuffle_files(spark)
+    got = SI.near_pairs(texts(spark, rows), "doc_id", "text")
+    for _ in range(50):  # they are deleted in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert sum(sizes) < 0.5 * sum(len(t) for _, t in rows)
+    assert {(r["a"], r["b"], round(r["similarity"], 9)) for r in got.collect()} == {(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9)) for a, b in want}
+
+
 def test_best_author_looks_at_near_ones_only(spark, monkeypatch):
     rng = np.random.default_rng(2)
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
